@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontaminate
+from .interpolation import op4_lm_score
 from .mixing import op7_mix_sources
 from .quality import op3_quality_rules
 from .secrets import op8_secret_scan
 from .simhash import op9_simhash
+from .suffixes import op10_suffix_dedup
 
-_OPERATORS = (op1_decontaminate, op3_quality_rules, op7_mix_sources, op8_secret_scan, op9_simhash)
+_OPERATORS = (op1_decontaminate, op3_quality_rules, op4_lm_score, op7_mix_sources, op8_secret_scan, op9_simhash, op10_suffix_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
