@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontaminate
 from .interpolation import op4_lm_score
+from .langid import op5_language_id
 from .mixing import op7_mix_sources
 from .quality import op3_quality_rules
 from .secrets import op8_secret_scan
 from .simhash import op9_simhash
 from .suffixes import op10_suffix_dedup
+from .toxicity import op6_toxicity
+from .wrappers import op2_html_text
 
-_OPERATORS = (op1_decontaminate, op3_quality_rules, op4_lm_score, op7_mix_sources, op8_secret_scan, op9_simhash, op10_suffix_dedup)
+_OPERATORS = (op1_decontaminate, op2_html_text, op3_quality_rules, op4_lm_score, op5_language_id, op6_toxicity, op7_mix_sources, op8_secret_scan, op9_simhash, op10_suffix_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
