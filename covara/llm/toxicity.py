@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 
 #: The field is fitted on at most so many labelled texts of each class, of at most so many characters each.
-TOXIC_TEXTS, CLEAN_TEXTS, MOST_CHARS = 1500, 3000, 20_000
+TOXIC_TEXTS, CLEAN_TEXTS, MOST_CHARS = 600, 1200, 20_000
 HASH_BITS, SEGMENT, ROUNDS, RATE, DECAY, SEED = 18, 128, 40, 0.5, 1e-6, 3
 LEAST_LIFT, LEAST_TEXTS, LEAST_SHARE = 20.0, 3, 0.003
 SPAN_AT, THRESHOLD = 0.5, 0.7
