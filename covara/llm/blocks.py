@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .tables import materialise
 
 BLOCK_BYTES, RANGES_PER_PARTITION = 4 << 20, 2
 REQUEST = "kind int, bucket int, block bigint, asked binary"
@@ -67,6 +66,7 @@ class Blocks:
         self.partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = self.partitions * RANGES_PER_PARTITION
         self.name = f"covara_blocks_{uuid.uuid4().hex}"
+        self.tables = [self.name]
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = TaskContext.get().partitionId() << 33
@@ -84,13 +84,14 @@ class Blocks:
         return self
 
     def __exit__(self, *_) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def each(self, work: Callable[[int, pa.RecordBatch, list], Iterator[pa.RecordBatch]], schema: str, *replies: DataFrame) -> DataFrame:
         """work(block, documents, for each of the replies a dict of kind -> blobs in key order) for every block."""
         rows = self.spark.table(self.name)
         for i, reply in enumerate(replies):
-            gathered = reply.repartition(self.partitions, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "reply"))).alias(f"r{i}"))
+            gathered = reply.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "reply"))).alias(f"r{i}"))
             rows = rows.join(gathered.hint("shuffle_hash"), "block", "left")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +110,37 @@ class Blocks:
 
         return rows.mapInArrow(run, schema)
 
+    def answer(self, requests: DataFrame, ops: Sequence[tuple[np.ufunc, str, str]], totals: Callable[[int, list[np.ndarray]], bytes] | None = None) -> DataFrame:
+        """Rows of REPLY: for each asked key its values over all blocks, each combined by its (ufunc, type asked, type replied).
+
+        totals(kind, combined values of a range's distinct keys) may add a row of its own with block -1. The result is a
+        table bucketed by block like the texts, so that no step that reads it shuffles either.
+        """
+
+        def combine(table: pa.Table) -> pa.Table:
+            parts = [_unpack_keys(x, *(t for _, t, _ in ops)) for x in table.column("asked").to_pylist()]
+            keys = np.concatenate([p[0] for p in parts])
+            order = np.argsort(keys, kind="stable")
+            new = np.concatenate([[True], np.diff(keys[order]) != 0])
+            first, place = np.flatnonzero(new), np.empty(len(keys), np.int64)
+            place[order] = np.cumsum(new) - 1
+            whole = [op.reduceat(np.concatenate([p[i + 1] for p in parts])[order].astype(t), first) for i, (op, _, t) in enumerate(ops)]
+            kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+            at, blocks, replies = 0, table.column("block").to_pylist(), []
+            for p in parts:
+                own = place[at : at + len(p[0])]
+                replies.append(pack(*(w[own] for w in whole)))
+                at += len(own)
+            if totals:
+                blocks, replies = [*blocks, -1], [*replies, totals(kind, whole)]
+            n = len(blocks)
+            return pa.table([pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(blocks, pa.int64()), pa.array(replies, pa.binary())], names=["kind", "bucket", "block", "reply"])
+
+        self.tables.append(name := f"{self.name}_{len(self.tables)}")
+        found = requests.groupBy("kind", "bucket").applyInArrow(combine, REPLY).repartition(self.partitions, "block")
+        found.write.option("compression", "none").bucketBy(self.partitions, "block").saveAsTable(name)
+        return self.spark.table(name)
+
 
 def block_requests(buckets: int, kind: int, block: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
     """Rows of REQUEST for ascending distinct keys of a block, with a value array for each."""
@@ -124,35 +156,6 @@ def request_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(asked, pa.binary())], names=["kind", "bucket", "block", "asked"])
 
 
-def answer(requests: DataFrame, ops: Sequence[tuple[np.ufunc, str, str]], totals: Callable[[int, list[np.ndarray]], bytes] | None = None) -> DataFrame:
-    """Rows of REPLY: for each asked key its values over all blocks, each combined by its (ufunc, type asked, type replied).
-
-    totals(kind, combined values of a range's distinct keys) may add a row of its own with block -1. The result is kept
-    in the shared folder.
-    """
-
-    def combine(table: pa.Table) -> pa.Table:
-        parts = [_unpack_keys(x, *(t for _, t, _ in ops)) for x in table.column("asked").to_pylist()]
-        keys = np.concatenate([p[0] for p in parts])
-        order = np.argsort(keys, kind="stable")
-        new = np.concatenate([[True], np.diff(keys[order]) != 0])
-        first, place = np.flatnonzero(new), np.empty(len(keys), np.int64)
-        place[order] = np.cumsum(new) - 1
-        whole = [op.reduceat(np.concatenate([p[i + 1] for p in parts])[order].astype(t), first) for i, (op, _, t) in enumerate(ops)]
-        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        at, blocks, replies = 0, table.column("block").to_pylist(), []
-        for p in parts:
-            own = place[at : at + len(p[0])]
-            replies.append(pack(*(w[own] for w in whole)))
-            at += len(own)
-        if totals:
-            blocks, replies = [*blocks, -1], [*replies, totals(kind, whole)]
-        n = len(blocks)
-        return pa.table([pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(blocks, pa.int64()), pa.array(replies, pa.binary())], names=["kind", "bucket", "block", "reply"])
-
-    return materialise(requests.groupBy("kind", "bucket").applyInArrow(combine, REPLY))
-
-
 def read_reply(blobs: list[bytes] | None, *types: str) -> list[np.ndarray]:
     """The replies of all key ranges of a block, in the order of its keys."""
     parts = [unpack(x, *types) for x in blobs or ()]

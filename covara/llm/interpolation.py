@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .blocks import REQUEST, Blocks, answer, block_requests, pack, read_reply, request_batch, unpack
+from .blocks import REQUEST, Blocks, block_requests, pack, read_reply, request_batch, unpack
 from .tables import materialise
 
 END, START = np.uint64(0xA3C59AC2F1E7D9B5), np.uint64(0x5DEECE66D1234567)
@@ -124,7 +124,7 @@ def score_texts(docs: DataFrame, train: str, deleted: str) -> DataFrame:
     spark = docs.sparkSession
     table = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", f"coalesce({train}, false) train", f"coalesce({train}, false) and coalesce({deleted}, false) deleted")
     with Blocks(table) as blocks:
-        replies = answer(blocks.each(_asking(blocks.buckets), REQUEST), [(np.add, "u4", "i8"), (np.add, "u4", "i8")], _sums)
+        replies = blocks.answer(blocks.each(_asking(blocks.buckets), REQUEST), [(np.add, "u4", "i8"), (np.add, "u4", "i8")], _sums)
         sums = np.array([unpack(r["reply"], "i8")[0] for r in replies.filter(f"block = -1 and kind = {WORD}").select("reply").toLocalIterator()]).reshape(-1, 3).sum(0)
         starts = table.agg(F.count_if("train").alias("n"), F.count_if("deleted").alias("d")).first()
         # START was counted among the words as a context; it is no token.

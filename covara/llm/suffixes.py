@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textarrays as ta
-from .blocks import REQUEST, Blocks, answer, block_requests, read_reply, request_batch
+from .blocks import REQUEST, Blocks, block_requests, read_reply, request_batch
 from .tables import materialise
 
 LENGTH = 50
@@ -149,7 +149,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         replies: list[DataFrame] = []
         for ops in rounds:
-            replies.append(answer(blocks.each(ask, REQUEST, *replies), ops))
+            replies.append(blocks.answer(blocks.each(ask, REQUEST, *replies), ops))
 
         def finish(block: int, docs: pa.RecordBatch, given: list) -> Iterator[pa.RecordBatch]:
             state = _State(docs, length, given)
