@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -170,14 +170,14 @@ def fit_field(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS) -> Fiel
 def fit(docs: DataFrame, labels: DataFrame) -> Field | None:
     """A field from docs (doc_id, text) and labels (doc_id, toxic); the texts with the least hash of doc_id are the sample.
 
-    None if there is no toxic or no clean text. A doc_id with labels that disagree counts as toxic.
+    None if there is no toxic or no clean text. A doc_id with labels that disagree counts as toxic; of repeated rows the least text counts.
     """
-    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # The join needs no texts of documents without a label, and the ranking keeps a bounded number for each task.
-    usable = docs.filter(F.length("text") <= MOST_CHARS).select("doc_id", "text")
-    ranked = usable.join(known, "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "text")))
-    rows = ranked.filter(f"n <= if(toxic = 1, {TOXIC_TEXTS}, {CLEAN_TEXTS})").filter(f"n <= {CLEAN_TEXTS}").select("text", "toxic", "n").collect()
-    rows.sort(key=lambda r: (r["toxic"], r["n"]))
+    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("n", F.xxhash64("doc_id", F.lit(SEED)))
+    # The sample is chosen among the labels, so that no text is shuffled for it; some of its texts may be missing or too long.
+    first = lambda c, k: known.filter(F.col("toxic") == c).orderBy("n", "doc_id").limit(k)
+    chosen = F.broadcast(first(1, TOXIC_TEXTS).unionByName(first(0, CLEAN_TEXTS)))  # a bounded number of ids
+    rows = docs.filter(F.length("text") <= MOST_CHARS).join(chosen, "doc_id").groupBy("doc_id", "toxic", "n").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["toxic"], r["n"], r["doc_id"]))
     toxic = np.array([r["toxic"] == 1 for r in rows], bool)
     return fit_field([r["text"] for r in rows], toxic) if toxic.any() and not toxic.all() else None
 
