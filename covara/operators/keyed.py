@@ -35,8 +35,8 @@ def reconcile(stored: DataFrame, fresh: DataFrame, owner: str, keys: list[str])
     fresh has a row with null keys for an owner that was processed and came out empty.
     """
     counts = fresh.groupBy(owner).agg(F.count(keys[0]).alias("__n"))
-    checked = stored.join(counts, owner, "left").withColumn("__ok", F.when(F.col("__n") == 0, F.raise_error(F.concat(F.lit("no fresh rows for "), F.col(owner).cast("string")))))
-    kept = checked.filter("__n is null and __ok is null").select(*stored.columns)
+    empty = F.raise_error(F.concat(F.lit("no fresh rows for "), F.col(owner).cast("string"))).cast("boolean")
+    kept = stored.join(counts, owner, "left").filter(F.when(F.col("__n") == 0, empty).otherwise(F.col("__n").isNull())).select(*stored.columns)
     return kept.unionByName(fresh.filter(F.col(keys[0]).isNotNull()).select(*stored.columns))
 
 
