@@ -18,7 +18,7 @@ from . import textarrays as ta
 
 WINDOW, DIMENSIONS, WIDTHS, FILTERS = 192, 6, (2, 3, 4, 5), 8
 #: The network is fitted on at most this many labelled texts of each language, a few windows of each.
-TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT, MOST_LANGUAGES = 800, 3, 400
+TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT, MOST_LANGUAGES, SPARE = 800, 3, 400, 4
 STEPS, BATCH, RATE, SEED = 900, 64, 0.01, 7
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 _REACH = max(WIDTHS)
@@ -111,19 +111,26 @@ def windows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, steps: int = STEPS) -> Network | None:
     """A network from docs (doc_id, text, lang): at most `texts` texts a language, those with the least hash of doc_id.
 
-    None without any labelled text that has a letter. More than 400 languages are an error.
+    Only hashes in the first part of their range are ranked, a part that holds about SPARE times as many of the
+    language's rows, so that the ranking does not grow with the table. None without any labelled text that has a
+    letter. More than 400 languages are an error.
     """
+    docs = docs.filter("lang is not null").select("doc_id", "text", "lang")
+    numbers = docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(numbers) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not numbers:
+        return None
+    part = F.create_map(*(F.lit(x) for lang, n in numbers for x in (lang, min(1.0, SPARE * texts / n))))[F.col("lang")]
     order = F.xxhash64("doc_id", F.lit(SEED))
     start = lambda i: (F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(SEED), F.lit(i)), F.greatest(F.lit(1), F.length("text") - WINDOW))).cast("int")
     pieces = F.array_distinct(F.array(*(F.substring("text", start(i), F.lit(WINDOW)) for i in range(WINDOWS_PER_TEXT))))
     rows = (
-        docs.filter("lang is not null").filter(F.col("text").rlike("\\p{L}"))
+        docs.filter(order / 2.0**64 + 0.5 <= part).filter(F.col("text").rlike("\\p{L}"))
         .select("lang", order.alias("h"), pieces.alias("pieces"))
         .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "pieces"))).filter(F.col("n") <= texts)
-        .select("lang", "pieces", "h").limit(texts * MOST_LANGUAGES + 1).collect()
+        .select("lang", "pieces", "h").collect()
     )
-    if len(rows) > texts * MOST_LANGUAGES or len({r["lang"] for r in rows}) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})

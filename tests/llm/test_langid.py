@@ -35,6 +35,16 @@ def test_gradients():
     assert (net.probabilities(x).argmax(1) == y).mean() > 0.97
 
 
+def test_sample_is_the_least_hashes(spark, monkeypatch):
+    """The ranked part of the hashes holds the whole sample."""
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id) as text", "if(id % 4 = 0, 'a', 'b') as lang")
+    seen = []
+    monkeypatch.setattr(g, "train", lambda x, y, languages, steps: seen.append({bytes(w).rstrip(b"\0") for w in x}))
+    g.fit(docs, texts=50)
+    ranked = docs.selectExpr("text", "row_number() over (partition by lang order by xxhash64(doc_id, 7)) as n").filter("n <= 50").collect()
+    assert seen[0] == {r["text"].encode() for r in ranked}
+
+
 def test_edges(spark, edges, empty):
     texts = [("en", "the weather this morning was bright and the walk was long"), ("de", "das Wetter heute Morgen war schön und der Weg war lang")]
     docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts * 4)], "doc_id long, text string, lang string")
