@@ -38,5 +38,15 @@ def heatmap_cell(touched: Column, total: Column) -> Column:
     return F.when(~known, "gap").when(touched / F.nullif(total, F.lit(0)) >= 0.5, "covered").otherwise("partial")
 
 
-def spectrum_sentence(addressed: Column, total: Column, substantive: Column) -> Column:
-    return F.format_string("%d of %d topics are addressed, %d by two or more documents.", addressed, total, substantive)
+#: The sentences on a distribution.
+NO_TOPICS = "No framework domains to report yet."
+NONE_ADDRESSED = "0 of %d domains addressed — no documents aligned yet."
+ALL_ADDRESSED = "All %d domains addressed."
+SOME_ADDRESSED = "%d of %d domains addressed; %d need attention."
+
+
+def spectrum_sentence(addressed: Column, total: Column, gap: Column) -> Column:
+    return (
+        F.when(total <= 0, F.lit(NO_TOPICS)).when(addressed == 0, F.format_string(NONE_ADDRESSED, total))
+        .when(gap == 0, F.format_string(ALL_ADDRESSED, total)).otherwise(F.format_string(SOME_ADDRESSED, addressed, total, gap))
+    )
