@@ -6,7 +6,7 @@ from importlib import import_module
 
 from covara.plans.registered import QUERIES, SQL, Query
 
-for _name in ("course", "cases", "maintenance", "retrieval", "texts", "audits", "items", "streams"):
+for _name in ("course", "cases", "maintenance", "retrieval", "texts", "audits", "items", "screens", "streams"):
     import_module(f"covara.plans.{_name}")
 
 
