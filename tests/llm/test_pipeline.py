@@ -1,6 +1,8 @@
 import corpus_pipeline as p
 from covara.llm import decontaminate, quality, secrets, simhash
 
+from .conftest import prose
+
 
 def test_stages_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -27,4 +29,19 @@ def test_edges(spark, edges, empty, sf):
         for _, stage in p.STAGES:
             assert stage(spark, df, sf).count() <= df.count()
     once = p.near_duplicate_stage(spark, edges, sf).collect()
-    assert sum(r.doc_id == 6 for r in once) == 1 and not any(r.doc_id == 20 for r in once)
+    assert sum(r.doc_id == 6 for r in once) == 1 and not any(r.doc_id in (20, None) for r in once)
+    clean = p.decontamination_stage(spark, edges, sf).collect()
+    assert len(clean) == edges.count()
+
+
+def test_repeated_ids(spark, sf):
+    """The least row of a repeated doc_id stays, whatever the order of the rows."""
+    rows = [(1, prose(1, 60), "en", "b", 9), (1, prose(2, 60), "en", "a", 9), (1, prose(1, 60), None, "b", 9), (2, prose(1, 60), "en", "b", 9), (3, prose(4, 60), "en", "b", 9)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    least = min(prose(1, 60), prose(2, 60), key=str.encode)
+    for given in (rows, rows[::-1]):
+        out = p.near_duplicate_stage(spark, spark.createDataFrame(given, schema), sf)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        found = {r.doc_id: r for r in out.collect()}
+        assert out.count() == 2 and found[1].text == least and found[3].text == prose(4, 60)
+        assert found[1].lang == (None if least == prose(1, 60) else "en")
