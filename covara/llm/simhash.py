@@ -11,6 +11,7 @@ distance), and the survivors are verified. A group passes on only a spanning set
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import connected_components
+from .jaccard import COPY_WORDS, SIMILARITY, describe, similar_links
 from .tables import materialise
 
 WORDS, MOST_BITS, AGREE, PIVOTS, HASH_SEED = 4, 4, 3, 24, 42
@@ -192,7 +194,7 @@ def near_links(nodes: DataFrame, most_bits: int = MOST_BITS, agree: int = AGREE)
     return dealt.mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, most_bits: int = MOST_BITS) -> DataFrame:
+def fingerprint_groups(docs: DataFrame, words: int = WORDS, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of its component) of each row of docs (doc_id, text).
 
     Lower-cases A-Z and hashes shingles of `words` words; a shorter text is one shingle. Null and empty texts
@@ -207,6 +209,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, most_bits: int = MOST_B
     return fps.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, words: int = COPY_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id of its component) of each row of docs (doc_id, text).
+
+    Links every two texts whose sets of `words`-word shingles have a Jaccard similarity of at least `least`; none is
+    missed (jaccard.py). fp is a hash of the set, 0 for null and empty texts, which are copies of each other. Otherwise
+    as fingerprint_groups().
+    """
+    described = materialise(describe(docs, words, least))
+    fps = described.select("doc_id", "fp")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"))
+    links = similar_links(docs, described, words, least)
+    a, b = (nodes.select(F.col("fp").alias(x), F.col("node").alias(y)) for x, y in (("a", "src"), ("b", "dst")))
+    component = connected_components(links.join(a, "a").join(b, "b").select("src", "dst"))
+    of_fp = nodes.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = fingerprint_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
