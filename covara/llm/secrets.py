@@ -4,13 +4,16 @@ A candidate is a run of 16 or more characters of one of the usual encodings. Thr
 with uniform draws from the alphabet of the encoding that its characters suggest: chi-squared of its
 symbols and of its character classes, number of runs above and below the middle of the alphabet, and
 serial correlation of neighbours. Their sum D is small for random strings. How small D gets for ordinary
-words depends on length, so the p-value of a candidate is the share of the corpus's ordinary words
-(letters only) of its length band with a D as small, and the Benjamini-Hochberg rule sets each band's
-limit at a false-discovery rate. All words and candidates of all documents count.
+words depends on length, so the p-value of a candidate comes from a smooth lower tail: a normal law of
+ln D around a line of fixed slope in the logarithm of length, fitted by medians to the distinct runs of letters of all bands and
+a few reference words, so that it has no floor in a small corpus. Runs of letters are candidates too, in bands of
+their own, and the Benjamini-Hochberg rule sets each band's limit at a false-discovery rate. All words and
+candidates of all documents count.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,6 +34,14 @@ RANDOM_D = 20.5
 BANDS = (16, 18, 20, 24, 28, 32, 40, 48, 64, 96)
 #: D is counted in steps of this size up to this many; the last step holds all above.
 STEP, STEPS = 0.25, 2000
+#: Rise of ln D with ln length (chi-squared of a fixed law of letters grows with length, D with its square), and the least spread of ln D.
+SLOPE, LEAST_SPREAD = 2.0, 0.25
+#: Long words that always count as ordinary, so that a corpus without any still has a tail.
+REFERENCE = (
+    "responsibilities characterization straightforwardly telecommunications misunderstandings internationalization institutionalized disproportionately incomprehensibility counterproductive"
+    " Geschwindigkeitsbegrenzung Verantwortungsbewusstsein Wissenschaftlerinnen Krankenversicherung Arbeitsbedingungen Lebensmittelgeschäft constitutionnellement développementalistes"
+    " anticonstitutionnellement responsabilidades desafortunadamente extraordinariamente constitucionalidad electrodomesticos"
+).split()
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Without one of these, in lower case, a text has no assignment and no access key.
@@ -94,14 +105,14 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
 
 
-_TYPES = ("array<struct<start: bigint, end: bigint, kind: string>>", "array<struct<start: bigint, end: bigint, size: bigint, step: int>>", "array<struct<size: bigint, step: int, n: bigint>>")
-_ARROW = tuple(pa.list_(pa.struct(x)) for x in ([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())], [("start", pa.int64()), ("end", pa.int64()), ("size", pa.int64()), ("step", pa.int32())], [("size", pa.int64()), ("step", pa.int32()), ("n", pa.int64())]))
+_TYPES = ("array<struct<start: bigint, end: bigint, kind: string>>", "array<struct<start: bigint, end: bigint, size: bigint, step: int>>", "array<struct<hash: bigint, size: bigint, step: int>>")
+_ARROW = tuple(pa.list_(pa.struct(x)) for x in ([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())], [("start", pa.int64()), ("end", pa.int64()), ("size", pa.int64()), ("step", pa.int32())], [("hash", pa.int64()), ("size", pa.int64()), ("step", pa.int32())]))
 
 
 def scan_texts(column: pa.Array) -> tuple[list[list], list[list], list[list]]:
-    """For each text: pattern spans, candidates (start, end, length, step of D), and counts of ordinary words (length, step, n).
+    """For each text: pattern spans, candidates (start, end, length, step of D), and distinct ordinary words (hash, length, step).
 
-    The counts of all the texts stand with the first one.
+    Lengths of candidates of letters only are negative. The words of all the texts stand with the first one.
     """
     data, at = ta.text_bytes(column)
     raw, n = data.tobytes(), len(at) - 1
@@ -130,11 +141,13 @@ def scan_texts(column: pa.Array) -> tuple[list[list], list[list], list[list]]:
     ordinary = letters[end] - letters[start] == end - start
     of = np.searchsorted(at, start, "right") - 1
     first, last = points[start] - points[at[of]], points[end] - points[at[of]]
-    for s, e, size, d, k in zip(*(x[~ordinary].tolist() for x in (first, last, end - start, step, of))):
+    sizes = np.where(ordinary, start - end, end - start)
+    for s, e, size, d, k in zip(*(x.tolist() for x in (first, last, sizes, step, of))):
         cand[k].append((s, e, size, d))
     if ordinary.any():
-        pairs, counts = np.unique((end - start)[ordinary] * STEPS + step[ordinary], return_counts=True)
-        plain[0] = [(p // STEPS, p % STEPS, c) for p, c in zip(pairs.tolist(), counts.tolist())]
+        i, j = start[ordinary], end[ordinary]
+        _, own = np.unique(hashes := ta.span_hashes(ta.prefix_sums(data), i, j), return_index=True)
+        plain[0] = list(zip(hashes[own].view(np.int64).tolist(), (j - i)[own].tolist(), step[ordinary][own].tolist()))
     return base, cand, plain
 
 
@@ -153,20 +166,36 @@ def _scanned(docs: DataFrame, key: str) -> DataFrame:
     return docs.selectExpr(f"cast({key} as bigint) doc_id", "cast(text as string) text").mapInArrow(_scan, f"doc_id bigint, base {_TYPES[0]}, candidates {_TYPES[1]}, ordinary {_TYPES[2]}")
 
 
-def band_limits(words: dict[int, np.ndarray], found: dict[int, np.ndarray], rate: float = RATE, least_words: int = 1000) -> dict[int, int]:
+def word_tail(words: dict[int, np.ndarray]) -> tuple[float, float]:
+    """Level of ln D over SLOPE times ln length, and its spread below, by medians of counts of words by band and step."""
+    d = np.log((np.arange(STEPS) + 0.5) * STEP)
+    bands = sorted(b for b, n in words.items() if n.sum())
+
+    def middle(values: np.ndarray, weight: np.ndarray) -> float:
+        order = np.argsort(values)
+        total = np.cumsum(weight[order])
+        return float(values[order][np.searchsorted(total, total[-1] / 2)])
+
+    rest = np.concatenate([d - SLOPE * math.log(b) for b in bands])
+    count = np.concatenate([words[b] for b in bands])
+    level = middle(rest, count)
+    below = (rest <= level) & (count > 0)
+    return level, max(LEAST_SPREAD, middle(level - rest[below], count[below]) / 0.6745)
+
+
+def band_limits(words: dict[int, np.ndarray], found: dict[int, np.ndarray], rate: float = RATE) -> dict[int, int]:
     """For each band, the largest step of D that the Benjamini-Hochberg rule admits at the rate, or -1.
 
-    Both arguments count by band and step. A band with under `least_words` ordinary words also uses those
-    of the shorter bands, whose D is smaller, so the error is on the side of fewer finds. No limit
-    goes beyond RANDOM_D.
+    Both arguments count by band and step; candidates of letters only have negative bands. Without any word
+    there is no tail and nothing is admitted. No limit goes beyond RANDOM_D.
     """
-    limits = {}
+    if not any(n.sum() for n in words.values()):
+        return dict.fromkeys(found, -1)
+    level, spread = word_tail(words)
+    d, limits = np.log((np.arange(STEPS) + 0.5) * STEP), {}
     for b, counts in found.items():
-        null = np.zeros(STEPS, np.int64)
-        for shorter in sorted((x for x in words if x <= b), reverse=True):
-            if null.sum() < least_words:
-                null = null + words[shorter]
-        p = (1 + np.cumsum(null)) / (1 + null.sum())
+        z = (d - level - SLOPE * math.log(abs(b))) / spread
+        p = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in z])
         rank = np.cumsum(counts)
         ok = np.flatnonzero((counts > 0) & (p <= rate * rank / rank[-1]) & (np.arange(STEPS) * STEP <= RANDOM_D))
         limits[b] = int(ok[-1]) if len(ok) else -1
@@ -174,21 +203,28 @@ def band_limits(words: dict[int, np.ndarray], found: dict[int, np.ndarray], rate
 
 
 def _limits(scanned: DataFrame, rate: float) -> dict[int, int]:
-    def counts(column: str, n) -> dict[int, np.ndarray]:  # at most one row for each band and step
-        rows = scanned.select(F.explode(column).alias("x")).groupBy(_band(F.col("x.size")).alias("band"), F.col("x.step").alias("step")).agg(F.sum(n).alias("n")).collect()
+    def counts(rows: DataFrame) -> dict[int, np.ndarray]:  # at most one row for each band and step
         out: dict[int, np.ndarray] = {}
-        for r in rows:
+        for r in rows.groupBy(_band(F.col("x.size")).alias("band"), F.col("x.step").alias("step")).agg(F.count("*").alias("n")).collect():
             out.setdefault(r["band"], np.zeros(STEPS, np.int64))[r["step"]] = r["n"]
         return out
 
-    return band_limits(counts("ordinary", F.col("x.n")), counts("candidates", F.lit(1)), rate)
+    words = counts(scanned.select(F.explode("ordinary").alias("x")).distinct())
+    for _, size, step in scan_texts(pa.array([" ".join(REFERENCE)], pa.large_string()))[2][0]:
+        words.setdefault(band_of(size), np.zeros(STEPS, np.int64))[step] += 1
+    return band_limits(words, counts(scanned.select(F.explode("candidates").alias("x"))), rate)
+
+
+def band_of(size: int) -> int:
+    """The band of a length; negative for a negative one."""
+    return max(b for b in BANDS if b <= abs(size)) * (1 if size > 0 else -1)
 
 
 def _band(size: Column) -> Column:
     out = F.lit(BANDS[0])
     for b in BANDS[1:]:
-        out = F.when(size >= b, F.lit(b)).otherwise(out)
-    return out
+        out = F.when(F.abs(size) >= b, F.lit(b)).otherwise(out)
+    return out * F.when(size < 0, F.lit(-1)).otherwise(F.lit(1))
 
 
 def _ordered(spans: Column) -> Column:
@@ -211,7 +247,7 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     def limit(size: Column) -> Column:
         out = F.lit(-1)
         for b in BANDS:
-            out = F.when(size >= b, F.lit(limits.get(b, -1))).otherwise(out)
+            out = F.when(size >= b, F.lit(limits.get(b, -1))).when(size <= -b, F.lit(limits.get(-b, -1))).otherwise(out)
         return out
 
     random = F.transform(F.filter("candidates", lambda x: x["step"] <= limit(x["size"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("random").alias("kind")))
@@ -225,7 +261,6 @@ def redact_secrets(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]")
     them is stored. A null text stays null.
     """
     limits = _limits(_scanned(docs, "null"), rate)
-    lower = np.array(BANDS)
 
     def cut(column: pd.Series) -> pd.Series:
         texts = column.tolist()
@@ -234,7 +269,7 @@ def redact_secrets(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]")
         for part in ta.slices(batch):
             base, cand, _ = scan_texts(part.column(0))
             for i, (spans, more) in enumerate(zip(base, cand)):
-                spans = [x[:2] for x in spans] + [x[:2] for x in more if x[3] <= limits.get(int(lower[np.searchsorted(lower, x[2], "right") - 1]), -1)]
+                spans = [x[:2] for x in spans] + [x[:2] for x in more if x[3] <= limits.get(band_of(x[2]), -1)]
                 if spans:
                     text, out, at = texts[done + i], [], 0
                     for s, e in sorted(spans):
