@@ -1,18 +1,19 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on runs of code-like characters.
 
-A candidate is a run of 16 or more characters of one of the usual encodings. Three tests compare it
-with uniform draws from the alphabet of the encoding that its characters suggest: chi-squared of its
-symbols and of its character classes, number of runs above and below the middle of the alphabet, and
-serial correlation of neighbours. Their sum D is small for random strings. How small D gets for ordinary
-words depends on length, so the p-value of a candidate comes from a smooth lower tail: a normal law of
-ln D around a line of fixed slope in the logarithm of length, fitted by medians to the distinct runs of letters of all bands and
-a few reference words, so that it has no floor in a small corpus. Runs of letters are candidates too, in bands of
-their own, and the Benjamini-Hochberg rule sets each band's limit at a false-discovery rate. All words and
-candidates of all documents count.
+A candidate is a run of 16 or more characters of base64 or one of its parts. Its encoding is the least usual alphabet
+that holds all of its characters. Three tests compare it with uniform draws from that alphabet: chi-squared of its
+symbols and of its character classes, number of runs above and below the middle of the alphabet, and serial
+correlation of neighbours. Their sum D is small for random strings and large for words, names and counters; how
+large depends on encoding and length. So both laws are simulated once for each encoding and length, with a fixed
+seed: random strings, and ordinary ones put together from words and counters in the usual styles of writing. The false-discovery
+rate of taking all strings up to D is known from the two laws and a stated prior share of secrets; the largest D
+that keeps it under the limit is the limit of that encoding and length. Nothing is learned from the
+table, so a text gets the same spans alone and among any others.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -24,24 +25,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .tables import materialise
 
 KINDS = ("assign", "access", "hex", "random")
-LEAST_CHARS, RATE = 16, 0.01
-#: D of random strings lies below this in all but a thousandth of cases (chi-squared, 5 degrees).
-RANDOM_D = 20.5
-#: Lower ends of the length bands.
-BANDS = (16, 18, 20, 24, 28, 32, 40, 48, 64, 96)
-#: D is counted in steps of this size up to this many; the last step holds all above.
-STEP, STEPS = 0.25, 2000
-#: Rise of ln D with ln length (chi-squared of a fixed law of letters grows with length, D with its square), and the least spread of ln D.
-SLOPE, LEAST_SPREAD = 2.0, 0.25
-#: Long words that always count as ordinary, so that a corpus without any still has a tail.
-REFERENCE = (
-    "responsibilities characterization straightforwardly telecommunications misunderstandings internationalization institutionalized disproportionately incomprehensibility counterproductive"
-    " Geschwindigkeitsbegrenzung Verantwortungsbewusstsein Wissenschaftlerinnen Krankenversicherung Arbeitsbedingungen Lebensmittelgeschäft constitutionnellement développementalistes"
-    " anticonstitutionnellement responsabilidades desafortunadamente extraordinariamente constitucionalidad electrodomesticos"
+LEAST_CHARS = 16
+#: Largest false-discovery rate, and the share of secrets among candidates that it is reckoned with.
+RATE, PRIOR = 0.05, 0.05
+#: No limit takes more than this share of random strings, so that D's far tail is never needed.
+MOST_TAKEN = 0.998
+#: Lengths that are simulated; between them limits are interpolated, above the last they stay.
+LENGTHS, SIMULATED, SEED = (16, 20, 24, 32, 40, 64, 128, 256), 2000, 20240611
+#: Encodings and their alphabets' sizes. Runs of digits are numbers, never secrets.
+ENCODINGS = ("digits", "hex", "letters", "mixed letters", "alphanumeric of one case", "alphanumeric", "base64")
+ALPHABETS = np.array([10, 16, 26, 52, 36, 62, 64])
+#: Words of four languages and their usual endings, from which ordinary strings are put together (fixed values).
+WORDS = (
+    "the and that have with this from they would there their what about which when make like time just know take people into year your good some could them other than then look only come over think also back after work first well even want because these give most"
+    " responsibility characterization straightforward telecommunication misunderstanding international institution proportion comprehension productive configuration environment application development information management"
+    " tion ation ment ness able ing ity ly er re an on in st th he"
+    " und der die das nicht mit sich auch auf werden haben einen Geschwindigkeit Verantwortung Wissenschaft Krankenversicherung Arbeitsbedingungen Lebensmittel keit ung heit lich schaft zu ver be ge"
+    " les des que pour dans une est pas plus vous avec constitution anticonstitutionnellement eux ment elle oire ais"
+    " los las por para una con como pero sus este responsabilidad desafortunadamente extraordinario constitucionalidad dad mente cion ado oso"
 ).split()
+HEX_WORDS = "face feed dead beef cafe babe added decade facade bad fee ace dad cab bed fade abcdef".split()
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Without one of these, in lower case, a text has no assignment and no access key.
@@ -54,31 +59,39 @@ _INDEX = np.zeros(256, np.int64)
 for _i, _c in enumerate(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
     _INDEX[_c] = _i
 _INDEX[ord("-")], _INDEX[ord("_")] = 62, 63
+#: Classes of characters (capital, small, digit, other) and their shares of each alphabet; vowels.
+_CLASS, _VOWEL = np.full(256, 3, np.int8), np.zeros(256, bool)
+_CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = 0, 1, 2
+_VOWEL[list(b"AEIOUaeiou")] = True
+_CLASS_SHARES = np.array([[0, 0, 10, 0], [0, 6, 10, 0], [0, 26, 0, 0], [26, 26, 0, 0], [0, 26, 10, 0], [26, 26, 10, 0], [26, 26, 10, 2]]) / ALPHABETS[:, None]
 
 
-def departure(m: np.ndarray) -> np.ndarray:
-    """D of each row of m, strings of one length as rows of bytes: about chi-squared with 4 degrees for random strings.
-
-    The alphabet is the least of hexadecimal, one case with digits, both cases with digits, base64
-    that holds all of the row's characters.
-    """
+def departure(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(D, index of the encoding) of each row of m, strings of one length as rows of bytes."""
     n, size = m.shape
     index = _INDEX[m]
-    upper, lower, digit, other = (((m >= a) & (m <= b)).sum(1) for a, b in ((65, 90), (97, 122), (48, 57), (0, 47)))
+    upper, lower, digit = (((m >= a) & (m <= b)).sum(1) for a, b in ((65, 90), (97, 122), (48, 57)))
     other = size - upper - lower - digit
     hexa = (((m >= 48) & (m <= 57)) | ((m >= 97) & (m <= 102))).all(1) | (((m >= 48) & (m <= 57)) | ((m >= 65) & (m <= 70))).all(1)
-    one = (other == 0) & ((upper == 0) | (lower == 0))
-    alphabet = np.select([hexa, one, other == 0], [16, 36, 62], 64).astype(float)
-    rank = np.where(hexa[:, None] | one[:, None], np.where(index >= 52, index - 52, index % 26 + 10), index).astype(float)
-    pairs = np.zeros(n)
-    for j in range(1, size):
-        pairs += (m[:, j:] == m[:, : size - j]).sum(1)
-    chi = alphabet / size * (2 * pairs + size) - size
+    one, letters = (upper == 0) | (lower == 0), (digit == 0) & (other == 0)
+    encoding = np.select([digit == size, hexa, letters & one, letters, (other == 0) & one, other == 0], range(6), 6)
+    alphabet = ALPHABETS[encoding].astype(float)
+    digits_first, of_one_case = np.isin(encoding, (0, 1, 4)), encoding == 2
+    rank = np.where(digits_first[:, None], np.where(index >= 52, index - 52, index % 26 + 10), np.where(of_one_case[:, None], index % 26, index)).astype(float)
+    symbols = np.bincount((np.arange(n)[:, None] * 256 + m).ravel(), minlength=n * 256).reshape(n, 256).astype(float)
+    chi = alphabet / size * (symbols**2).sum(1) - size
     z_chi = np.maximum(0, (chi - (alphabet - 1)) / np.sqrt(2 * (alphabet - 1) * (1 - 1 / size)))
-    share = np.select([hexa, one, other == 0], [10 / 16, 10 / 36, 10 / 62], 10 / 64)
-    z_class = (digit - size * share) / np.sqrt(size * share * (1 - share))
-    both = ~(hexa | one)
-    z_case = np.where(both, (upper - lower) / np.sqrt(np.maximum(1, upper + lower)), 0)
+    share = np.where(letters, 0, 10 / alphabet)
+    spread = lambda p: np.sqrt(np.maximum(size * p * (1 - p), 1e-9))
+    z_digit = np.where(letters | (encoding == 0), 0, (digit - size * share) / spread(share))
+    z_other = np.where(encoding == 6, (other - size * 2 / 64) / spread(2 / 64), 0)
+    z_case = np.where(np.isin(encoding, (3, 5, 6)), (upper - lower) / np.sqrt(np.maximum(1, upper + lower)), 0)
+    vowel = _VOWEL[m].sum(1)
+    z_vowel = np.where((encoding >= 2) & (upper + lower > 0), (vowel - (upper + lower) * 10 / 52) / np.sqrt(np.maximum(upper + lower, 1) * 10 / 52 * 42 / 52), 0)
+    shares = _CLASS_SHARES[encoding]
+    q = 1 - (shares**2).sum(1)
+    kind = _CLASS[m]
+    z_changes = ((kind[:, 1:] != kind[:, :-1]).sum(1) - (size - 1) * q) / np.sqrt(np.maximum((size - 1) * q * (1 - q), 0.25)) * (q > 0)
     high = rank >= alphabet[:, None] / 2
     up = high.sum(1)
     mean = 2 * up * (size - up) / size + 1
@@ -86,16 +99,67 @@ def departure(m: np.ndarray) -> np.ndarray:
     z_runs = ((high[:, 1:] != high[:, :-1]).sum(1) + 1 - mean) / np.sqrt(var)
     c = rank - rank.mean(1, keepdims=True)
     z_serial = (c[:, 1:] * c[:, :-1]).sum(1) / np.maximum((c * c).sum(1), 1e-9) * np.sqrt(size)
-    return z_chi**2 + z_class**2 + z_case**2 + z_runs**2 + z_serial**2
+    return z_chi**2 + z_digit**2 + z_other**2 + z_case**2 + np.maximum(0, z_vowel) ** 2 + np.minimum(0, z_changes) ** 2 + z_runs**2 + z_serial**2, encoding
 
 
-def _departures(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out, size = np.zeros(len(start)), end - start
+def _departures(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out, kind, size = np.zeros(len(start)), np.zeros(len(start), np.int64), end - start
     for k in np.unique(size).tolist():
         own = np.flatnonzero(size == k)
-        for i in range(0, len(own), max(1, 400_000 // k)):
-            some = own[i : i + max(1, 400_000 // k)]
-            out[some] = departure(data[start[some][:, None] + np.arange(k)])
+        for i in range(0, len(own), max(1, 200_000 // k)):
+            some = own[i : i + max(1, 200_000 // k)]
+            out[some], kind[some] = departure(data[start[some][:, None] + np.arange(k)])
+    return out, kind
+
+
+def _random_strings(encoding: int, size: int, rng: np.random.Generator) -> np.ndarray:
+    digits, low, up = b"0123456789", bytes(range(97, 123)), bytes(range(65, 91))
+    alphabet = (digits, digits + b"abcdef", low, up + low, low + digits, up + low + digits, up + low + digits + b"+/")[encoding]
+    return np.frombuffer(alphabet, np.uint8)[rng.integers(0, len(alphabet), (SIMULATED, size))]
+
+
+@functools.cache
+def _ordinary_text(encoding: int) -> np.ndarray:
+    """Words one after the other, with counters, capitals and joints as the encoding has them, in pieces of one style each."""
+    rng, pieces = np.random.default_rng(SEED + encoding), []
+    words = np.array(HEX_WORDS if encoding == 1 else WORDS)
+    numbers, joints = encoding in (1, 4, 5, 6), "_-/" if encoding == 6 else " "
+    for style in range(12):
+        joint, capital = joints[style % len(joints)].strip(), encoding in (3, 5) or encoding == 6 and style % 2
+        for word in rng.choice(words, 600):
+            pieces.append(word.title() if capital else word.lower())
+            if numbers and rng.random() < 0.3:
+                pieces.append(str(rng.integers(0, 10 ** int(rng.integers(1, 5)))) if rng.random() < 0.5 else str(1970 + rng.integers(0, 60)))
+            pieces.append(joint)
+    return np.frombuffer("".join(pieces).encode(), np.uint8)
+
+
+def _ordinary_strings(encoding: int, size: int, rng: np.random.Generator) -> np.ndarray:
+    text = _ordinary_text(encoding)
+    return text[rng.integers(0, len(text) - size, SIMULATED)[:, None] + np.arange(size)]
+
+
+@functools.cache
+def random_limits(rate: float = RATE, prior: float = PRIOR) -> np.ndarray:
+    """The largest D of a secret for each encoding and length up to the last simulated one; -1 where none keeps the rate.
+
+    The lower tail of D of ordinary strings is a normal law of ln D, fitted to the mean and to the spread below it.
+    """
+    rng, out = np.random.default_rng(SEED), np.full((len(ENCODINGS), LENGTHS[-1] + 1), -1.0)
+    for e in range(1, len(ENCODINGS)):
+        known = []
+        for size in LENGTHS:
+            d, kind = departure(_random_strings(e, size, rng))
+            random = np.sort(d[kind == e])[: int(MOST_TAKEN * (kind == e).sum())]
+            d, kind = departure(_ordinary_strings(e, size, rng))
+            plain = np.log(d[kind == e] if (kind == e).sum() >= 50 else d)
+            level = plain.mean()
+            spread = math.sqrt(((plain[plain < level] - level) ** 2).mean())
+            tail = np.array([0.5 * math.erfc((level - x) / spread / math.sqrt(2)) for x in np.log(random)])
+            taken = np.arange(1, len(random) + 1) / len(random)
+            ok = np.flatnonzero((1 - prior) * tail <= rate * ((1 - prior) * tail + prior * taken))
+            known.append(random[ok[-1]] if len(ok) else -1.0)
+        out[e, LENGTHS[0] :] = np.interp(np.log(np.arange(LENGTHS[0], LENGTHS[-1] + 1)), np.log(LENGTHS), known)
     return out
 
 
@@ -105,27 +169,24 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
 
 
-_TYPES = ("array<struct<start: bigint, end: bigint, kind: string>>", "array<struct<start: bigint, end: bigint, size: bigint, step: int>>", "array<struct<hash: bigint, size: bigint, step: int>>")
-_ARROW = tuple(pa.list_(pa.struct(x)) for x in ([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())], [("start", pa.int64()), ("end", pa.int64()), ("size", pa.int64()), ("step", pa.int32())], [("hash", pa.int64()), ("size", pa.int64()), ("step", pa.int32())]))
+_SPANS = "array<struct<start: bigint, end: bigint, kind: string>>"
+_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
 
-def scan_texts(column: pa.Array) -> tuple[list[list], list[list], list[list]]:
-    """For each text: pattern spans, candidates (start, end, length, step of D), and distinct ordinary words (hash, length, step).
-
-    Lengths of candidates of letters only are negative. The words of all the texts stand with the first one.
-    """
+def scan_texts(column: pa.Array, limits: np.ndarray) -> tuple[list[list], list[list]]:
+    """For each text its base spans and its random ones, as (start, end, kind) in code points."""
     data, at = ta.text_bytes(column)
     raw, n = data.tobytes(), len(at) - 1
     base: list[list] = [[] for _ in range(n)]
-    cand: list[list] = [[] for _ in range(n)]
-    plain: list[list] = [[] for _ in range(n)]
+    random: list[list] = [[] for _ in range(n)]
     points = np.concatenate([[0], np.cumsum(ta.LEAD[data])])
     low, hot = raw.lower(), set()
     for w in _WORDS:
         i = low.find(w)
         while i >= 0:
-            hot.add(int(np.searchsorted(at, i, "right")) - 1)
-            i = low.find(w, i + 1)
+            k = int(np.searchsorted(at, i, "right")) - 1
+            hot.add(k)
+            i = low.find(w, int(at[k + 1]))
     for k in hot:
         base[k] += pattern_spans(raw[at[k] : at[k + 1]].decode())
     start, end = ta.runs(_HEX[data], at)
@@ -136,95 +197,17 @@ def scan_texts(column: pa.Array) -> tuple[list[list], list[list], list[list]]:
     start, end = ta.runs(_CODE[data], at)
     own = end - start >= LEAST_CHARS
     start, end = start[own], end[own]
-    step = np.minimum(_departures(data, start, end) / STEP, STEPS - 1).astype(np.int64)
-    letters = np.concatenate([[0], np.cumsum((data | 32) - 97 < 26)])
-    ordinary = letters[end] - letters[start] == end - start
+    d, encoding = _departures(data, start, end)
+    own = d <= limits[encoding, np.minimum(end - start, limits.shape[1] - 1)]
+    start, end = start[own], end[own]
     of = np.searchsorted(at, start, "right") - 1
-    first, last = points[start] - points[at[of]], points[end] - points[at[of]]
-    sizes = np.where(ordinary, start - end, end - start)
-    for s, e, size, d, k in zip(*(x.tolist() for x in (first, last, sizes, step, of))):
-        cand[k].append((s, e, size, d))
-    if ordinary.any():
-        i, j = start[ordinary], end[ordinary]
-        _, own = np.unique(hashes := ta.span_hashes(ta.prefix_sums(data), i, j), return_index=True)
-        plain[0] = list(zip(hashes[own].view(np.int64).tolist(), (j - i)[own].tolist(), step[ordinary][own].tolist()))
-    return base, cand, plain
-
-
-def _lists(rows: list[list], kind: pa.DataType) -> pa.Array:
-    names = [f.name for f in kind.value_type]
-    return pa.array([[dict(zip(names, r)) for r in v] for v in rows], kind)
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in ta.slices(batch):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(_lists(x, t) for x, t in zip(scan_texts(part.column("text")), _ARROW))], names=["doc_id", "base", "candidates", "ordinary"])
-
-
-def _scanned(docs: DataFrame, key: str) -> DataFrame:
-    return docs.selectExpr(f"cast({key} as bigint) doc_id", "cast(text as string) text").mapInArrow(_scan, f"doc_id bigint, base {_TYPES[0]}, candidates {_TYPES[1]}, ordinary {_TYPES[2]}")
-
-
-def word_tail(words: dict[int, np.ndarray]) -> tuple[float, float]:
-    """Level of ln D over SLOPE times ln length, and its spread below, by medians of counts of words by band and step."""
-    d = np.log((np.arange(STEPS) + 0.5) * STEP)
-    bands = sorted(b for b, n in words.items() if n.sum())
-
-    def middle(values: np.ndarray, weight: np.ndarray) -> float:
-        order = np.argsort(values)
-        total = np.cumsum(weight[order])
-        return float(values[order][np.searchsorted(total, total[-1] / 2)])
-
-    rest = np.concatenate([d - SLOPE * math.log(b) for b in bands])
-    count = np.concatenate([words[b] for b in bands])
-    level = middle(rest, count)
-    below = (rest <= level) & (count > 0)
-    return level, max(LEAST_SPREAD, middle(level - rest[below], count[below]) / 0.6745)
-
-
-def band_limits(words: dict[int, np.ndarray], found: dict[int, np.ndarray], rate: float = RATE) -> dict[int, int]:
-    """For each band, the largest step of D that the Benjamini-Hochberg rule admits at the rate, or -1.
-
-    Both arguments count by band and step; candidates of letters only have negative bands. Without any word
-    there is no tail and nothing is admitted. No limit goes beyond RANDOM_D.
-    """
-    if not any(n.sum() for n in words.values()):
-        return dict.fromkeys(found, -1)
-    level, spread = word_tail(words)
-    d, limits = np.log((np.arange(STEPS) + 0.5) * STEP), {}
-    for b, counts in found.items():
-        z = (d - level - SLOPE * math.log(abs(b))) / spread
-        p = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in z])
-        rank = np.cumsum(counts)
-        ok = np.flatnonzero((counts > 0) & (p <= rate * rank / rank[-1]) & (np.arange(STEPS) * STEP <= RANDOM_D))
-        limits[b] = int(ok[-1]) if len(ok) else -1
-    return limits
-
-
-def _limits(scanned: DataFrame, rate: float) -> dict[int, int]:
-    def counts(rows: DataFrame) -> dict[int, np.ndarray]:  # at most one row for each band and step
-        out: dict[int, np.ndarray] = {}
-        for r in rows.groupBy(_band(F.col("x.size")).alias("band"), F.col("x.step").alias("step")).agg(F.count("*").alias("n")).collect():
-            out.setdefault(r["band"], np.zeros(STEPS, np.int64))[r["step"]] = r["n"]
-        return out
-
-    words = counts(scanned.select(F.explode("ordinary").alias("x")).distinct())
-    for _, size, step in scan_texts(pa.array([" ".join(REFERENCE)], pa.large_string()))[2][0]:
-        words.setdefault(band_of(size), np.zeros(STEPS, np.int64))[step] += 1
-    return band_limits(words, counts(scanned.select(F.explode("candidates").alias("x"))), rate)
-
-
-def band_of(size: int) -> int:
-    """The band of a length; negative for a negative one."""
-    return max(b for b in BANDS if b <= abs(size)) * (1 if size > 0 else -1)
+    for s, e, k in zip((points[start] - points[at[of]]).tolist(), (points[end] - points[at[of]]).tolist(), of.tolist()):
+        random[k].append((s, e, "random"))
+    return base, random
 
 
-def _band(size: Column) -> Column:
-    out = F.lit(BANDS[0])
-    for b in BANDS[1:]:
-        out = F.when(F.abs(size) >= b, F.lit(b)).otherwise(out)
-    return out * F.when(size < 0, F.lit(-1)).otherwise(F.lit(1))
+def _lists(rows: list[list]) -> pa.Array:
+    return pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in v] for v in rows], _ARROW)
 
 
 def _ordered(spans: Column) -> Column:
@@ -233,46 +216,44 @@ def _ordered(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
 
 
-def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
+def scan_secrets(docs: DataFrame, rate: float = RATE, prior: float = PRIOR) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, base and spans as arrays of (start, end, kind).
 
     base holds the fixed patterns; spans adds the kind random. Offsets are code points, ends exclusive.
-    A null or empty text has no spans. Texts are read whole at any length. Repeated rows are scanned
-    each; spans that tie on start are ordered by kind as listed. An empty table gives no rows; other
+    A null or empty text has no spans. Texts are read whole at any length, in time in proportion to it. Repeated
+    rows are scanned each; spans that tie on start are ordered by kind as listed. An empty table gives no rows; other
     columns are ignored. doc_id may be null.
     """
-    found = materialise(_scanned(docs, "doc_id"))
-    limits = _limits(found, rate)
+    limits = random_limits(rate, prior)
 
-    def limit(size: Column) -> Column:
-        out = F.lit(-1)
-        for b in BANDS:
-            out = F.when(size >= b, F.lit(limits.get(b, -1))).when(size <= -b, F.lit(limits.get(-b, -1))).otherwise(out)
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ta.slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(_lists, scan_texts(part.column("text"), limits))], names=["doc_id", "base", "random"])
 
-    random = F.transform(F.filter("candidates", lambda x: x["step"] <= limit(x["size"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("random").alias("kind")))
-    return found.select("doc_id", _ordered(F.col("base")).alias("base"), _ordered(F.concat("base", random)).alias("spans"))
+    found = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, f"doc_id bigint, base {_SPANS}, random {_SPANS}")
+    return found.select("doc_id", _ordered(F.col("base")).alias("base"), _ordered(F.concat("base", "random")).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]", prior: float = PRIOR) -> DataFrame:
     """docs with every secret span of text replaced by the mark, overlapping ones by one; n_chars, if there is one, becomes the new length.
 
-    All rows and columns stay. The texts are scanned twice, for the limits and for the spans, so that no copy of
-    them is stored. A null text stays null.
+    All rows and columns stay, repeated rows and columns of any other name among them; each row is judged alone, so ties
+    need no rule. A null text stays null, an empty one empty; texts of any length are read whole; an empty table
+    gives no rows.
     """
-    limits = _limits(_scanned(docs, "null"), rate)
+    limits = random_limits(rate, prior)
 
     def cut(column: pd.Series) -> pd.Series:
         texts = column.tolist()
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
         done = 0
         for part in ta.slices(batch):
-            base, cand, _ = scan_texts(part.column(0))
-            for i, (spans, more) in enumerate(zip(base, cand)):
-                spans = [x[:2] for x in spans] + [x[:2] for x in more if x[3] <= limits.get(band_of(x[2]), -1)]
+            for i, both in enumerate(zip(*scan_texts(part.column(0), limits))):
+                spans = sorted(x[:2] for found in both for x in found)
                 if spans:
                     text, out, at = texts[done + i], [], 0
-                    for s, e in sorted(spans):
+                    for s, e in spans:
                         if s >= at:
                             out += [text[at:s], mark]
                         at = max(at, e)
