@@ -2,12 +2,13 @@
 
 An item may occur in a text with up to k edits. Cut into k + 1 pieces, at least one piece must then occur
 unchanged: an automaton finds every occurrence of every piece in one pass over the text, and the
-surroundings of each are verified. The benchmark is the query set; it is broadcast in blocks of bounded
-size, one pass over the documents for each.
+surroundings of each are verified, those that overlap together, so that a text full of hits costs one pass too. The
+benchmark is the query set; it is broadcast in blocks of bounded size, one pass over the documents for each.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -15,9 +16,10 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-CHARS_PER_EDIT, LEAST_ITEM_CHARS, BLOCK_CHARS = 20, 20, 8_000_000
+from .tables import materialise
+
+CHARS_PER_EDIT, LEAST_ITEM_CHARS, BLOCK_CHARS = 20, 20, 2_000_000
 SCHEMA = "doc_id bigint, item_id bigint, distance bigint, start bigint, end bigint"
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
@@ -73,40 +75,68 @@ def _automaton(items: Iterable[tuple[int, str, int]]):
     return a
 
 
-def matches(text: str, items: list[tuple[int, str, int]], automaton) -> dict[int, tuple[int, int, int]]:
-    """item position -> (distance, start, end) of its best match in a normalised text; start is that of an equally long match."""
+def matches(text: str, items: list[tuple[int, str, int]], automaton, least: int = LEAST_ITEM_CHARS) -> dict[int, tuple[int, int, int]]:
+    """item position -> (distance, start, end) of its best match in a normalised text; start is that of an equally long match.
+
+    Items under `least` characters count only as whole words.
+    """
     out: dict[int, tuple[int, int, int]] = {}
-    seen: dict[int, int] = {}
+    windows: dict[int, tuple[int, int]] = {}
+
+    def verify(k: int) -> None:
+        low, high = windows.pop(k)
+        item, edits = items[k][1:]
+        found = best_match(item, text[low:high], edits)
+        if found and (k not in out or (found[0], low + found[1]) < (out[k][0], out[k][2])):
+            out[k] = (found[0], max(0, low + found[1] - len(item)), low + found[1])
+
     for last, (size, places) in automaton.iter(text):
         for k, offset in places:
-            _, item, edits = items[k]
-            known = out.get(k)
-            if known and known[0] == 0:
+            if k in out and out[k][0] == 0:
                 continue
+            _, item, edits = items[k]
             at = last + 1 - size - offset
-            if text.startswith(item, max(at, 0)) and at >= 0:
-                out[k] = (0, at, at + len(item))
+            if at >= 0 and text.startswith(item, at):
+                end = at + len(item)
+                if len(item) >= least or (at == 0 or text[at - 1] == " ") and (end == len(text) or text[end] == " "):
+                    out[k] = (0, at, end)
+                    windows.pop(k, None)
                 continue
-            if seen.get(k, -1) == at:  # the next piece of the same alignment
+            if not edits:
                 continue
-            seen[k] = at
-            low = max(0, at - edits)
-            found = best_match(item, text[low : at + len(item) + edits], edits)
-            if found and (not known or (found[0], low + found[1]) < (known[0], known[2])):
-                out[k] = (found[0], max(0, low + found[1] - len(item)), low + found[1])
+            low, high = max(0, at - edits), at + len(item) + edits
+            if k in windows:
+                if low <= windows[k][1]:
+                    windows[k] = (min(low, windows[k][0]), max(high, windows[k][1]))
+                    continue
+                verify(k)
+            windows[k] = (low, high)
+    for k in list(windows):
+        verify(k)
     return out
 
 
+#: The automaton of the benchmark block that this worker used last, so that its tasks build it once.
+_built: dict[str, object] = {}
+
+
+def _kept_automaton(block: str, items: list[tuple[int, str, int]]):
+    if block not in _built:
+        _built.clear()
+        _built[block] = _automaton(items)
+    return _built[block]
+
+
 def _blocks(items: DataFrame, chars_per_edit: int, least: int, block_chars: int) -> Iterator[list[tuple[int, str, int]]]:
     block, size = [], 0
     for row in items.selectExpr("cast(item_id as bigint) item_id", "cast(text as string) text").toLocalIterator():
         text = normalised(row["text"])
-        if len(text) < least:
+        if not text:
             continue
         if block and size + len(text) > block_chars:
             yield block
             block, size = [], 0
-        block.append((row["item_id"], text, len(text) // chars_per_edit))
+        block.append((row["item_id"], text, len(text) // chars_per_edit if len(text) >= least else 0))
         size += len(text)
     if block:
         yield block
@@ -117,29 +147,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHAR
 
     Both texts are compared as lower-case words of letters and digits; start and end are places in that form of
     the document. Of equal matches in a document the first counts. Null and empty texts match nothing; items
-    under `least_item_chars` normalised characters say nothing about a leak and are left out; texts of any
+    under `least_item_chars` normalised characters are matched without any edit, as whole words; texts of any
     length are read whole. Repeated documents give repeated rows, repeated items one row each. Empty tables give
-    no rows; other columns are ignored. doc_id and item_id may be null and are passed on.
+    no rows; other columns are ignored. doc_id and item_id may be null and are passed on. The driver holds one block
+    of the benchmark at a time: with several, each block's findings are written to the shared folder.
     """
     spark = docs.sparkSession
     texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    found = []
-    for block in _blocks(benchmark, chars_per_edit, least_item_chars, block_chars):
+    found, blocks = [], _blocks(benchmark, chars_per_edit, least_item_chars, block_chars)
+    block = next(blocks, None)
+    while block:
         sent = spark.sparkContext.broadcast(block)  # at most block_chars characters and one item
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, number=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             items = sent.value
-            automaton = _automaton(items)
+            automaton = _kept_automaton(number, items)
             for batch in batches:
                 rows = [
                     (doc, items[k][0], *match)
                     for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"))
                     if text.is_valid
-                    for k, match in sorted(matches(normalised(text.as_py()), items, automaton).items())
+                    for k, match in sorted(matches(normalised(text.as_py()), items, automaton, least_item_chars).items())
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 5)], names=["doc_id", "item_id", "distance", "start", "end"])
 
-        found.append(texts.mapInArrow(search, SCHEMA))
+        one, block = texts.mapInArrow(search, SCHEMA), next(blocks, None)
+        if block or found:
+            one = materialise(one)
+            sent.destroy()
+        found.append(one)
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 from covara.llm import decontaminate as d
 
@@ -55,6 +56,21 @@ def test_real_tables(spark, sf):
     assert exact and exact == {(r.doc_id, r.item_id) for r in rows if r.distance == 0}
 
 
+def test_short_items_match_whole_words_without_edits(spark):
+    docs = spark.createDataFrame([(1, "He said: short answer!"), (2, "a shortanswer"), (3, "short answers"), (4, "Short, answer")], "doc_id long, text string")
+    found = d.find_leaks(docs, spark.createDataFrame([(7, "Short answer"), (8, "?!")], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in found.collect()) == [(1, 7, 0), (4, 7, 0)]
+
+
+def test_periodic_texts_take_time_in_proportion():
+    item = "ab " * 29 + "cd ab ab ab ab ab ab ab ab ab ab ab ab"
+    items = [(1, item, len(item) // d.CHARS_PER_EDIT)]
+    automaton, text = d._automaton(items), "ab " * 100_000
+    began = time.time()
+    assert d.matches(text, items, automaton) == {0: (2, *d.matches(text[:600], items, automaton)[0][1:])}
+    assert time.time() - began < 20
+
+
 def test_edges(spark, edges, empty):
     bench = spark.createDataFrame([(1, prose(2, 60)), (1, prose(2, 60)), (2, None), (3, ""), (None, prose(5, 40)), (4, "short")], "item_id long, text string")
     found = d.find_leaks(edges, bench).collect()
