@@ -210,20 +210,21 @@ def fingerprint_groups(docs: DataFrame, words: int = WORDS, most_bits: int = MOS
 
 
 def near_duplicates(docs: DataFrame, words: int = COPY_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of its component) of each row of docs (doc_id, text).
+    """doc_id, fp, component_id (the smallest doc_id of its component) and first of each row of docs (doc_id, text).
 
     Links every two texts whose sets of `words`-word shingles have a Jaccard similarity of at least `least`; none is
-    missed (jaccard.py). fp is a hash of the set, 0 for null and empty texts, which are copies of each other. Otherwise
-    as fingerprint_groups().
+    missed (jaccard.py). fp is a hash of the set, 0 for null and empty texts, which are copies of each other. first is true
+    for rows that stand for their component: those with the smallest doc_id and, where no row has one, those with the
+    smallest fp. Texts of any length are read whole; repeated rows and equal texts share a node; an empty table gives no
+    rows; other columns are ignored.
     """
     described = materialise(describe(docs, words, least))
+    component = connected_components(similar_links(docs, described, words, least).selectExpr("a src", "b dst"))
     fps = described.select("doc_id", "fp")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    links = similar_links(docs, described, words, least)
-    a, b = (nodes.select(F.col("fp").alias(x), F.col("node").alias(y)) for x, y in (("a", "src"), ("b", "dst")))
-    component = connected_components(links.join(a, "a").join(b, "b").select("src", "dst"))
-    of_fp = nodes.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(component.selectExpr("node fp", "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    whole = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_fp = nodes.join(whole, "component").select("fp", "component", "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id", F.when(F.col("component_id").isNull(), F.col("fp") == F.col("component")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("first"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers that are copied to all executors at most, some 50 MB.
+MOST_COPIED = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> None:
@@ -18,3 +22,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder; its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def copied(df: DataFrame, most_rows: int = MOST_COPIED) -> DataFrame:
+    """df, a stored table of few numbers a row, marked to be copied to all executors where it is small; else Spark shuffles."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store its path names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -65,3 +65,22 @@ def test_large_groups_and_shared_passages(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "SAMPLE", 1)
         found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
         assert [found[i] for i in range(len(texts))] == want
+
+
+def test_groups_in_blocks(spark, monkeypatch):
+    """Star-like groups of near copies of one text, of which most are not near each other; groups are cut into blocks."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(40):
+        own = list(base)
+        for _ in range(4):
+            own[r.randrange(len(own))] = word()
+        texts.append(" ".join(own))
+    texts += [" ".join(base[:60] + [word() for _ in range(90)]) for _ in range(20)]
+    want = brute_components(texts)
+    monkeypatch.setattr(jaccard, "in_blocks", lambda large, f=jaccard.in_blocks: f(large, members=7))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = {x.doc_id: x.component_id for x in simhash.near_duplicates(df).collect()}
+    assert [found[i] for i in range(len(texts))] == want
