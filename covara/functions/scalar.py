@@ -106,6 +106,12 @@ def guide_kind(filename: Column) -> Column:
     return F.when(F.contains(filename, F.lit("FacultyGuide")), F.lit("faculty")).otherwise(F.lit("self_study"))
 
 
+def extraction_scope(kind: Column, file_type: Column) -> Column:
+    """Which figures of a document's file are taken out; those of faculty guides in PDF wait."""
+    faculty = kind == "faculty"
+    return F.when(faculty & (file_type == "pdf"), "pdf_pending").when(faculty & (file_type == "docx"), "faculty").otherwise("self_study")
+
+
 def confidence_band(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "high").when(confidence >= 0.6, "medium").otherwise("low")
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +25,6 @@ def so_far(key: str = "doc_id") -> Window:
     return in_order(key).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def is_heading(line: Column, patterns: list[str], stop: list[str] = (), most_chars: int = 80) -> Column:
-    t = F.trim(line)
-    out = (F.length(t).between(1, most_chars)) & F.reduce(F.array(*(t.rlike(p) for p in patterns)), F.lit(False), lambda a, x: a | x)
-    return out & ~F.lower(t).isin([s.lower() for s in stop]) if stop else out
-
-
 def with_sections(lines: DataFrame, heading: Column, key: str = "doc_id") -> DataFrame:
     """Every line with the number of its section and the heading it stands under; before the first heading it is Introduction, without any Document."""
     marked = lines.withColumn("heading", heading)
@@ -42,9 +33,9 @@ def with_sections(lines: DataFrame, heading: Column, key: str = "doc_id") -> Dat
     return marked.withColumn("section_no", F.sum(F.col("heading").cast("int")).over(so_far(key))).withColumn("section", F.coalesce(last, F.when(any_heading, "Introduction").otherwise("Document")))
 
 
-def without_contents(lines: DataFrame, pattern: str, first: int = 300, gap: int = 2, least: int = 3, key: str = "doc_id") -> DataFrame:
+def without_contents(lines: DataFrame, pattern: str, first: int = 300, gap: int = 2, least: int = 3, key: str = "doc_id", text: str = "line") -> DataFrame:
     """lines without a leading run of contents lines: matching lines near the start, at most `gap` apart, `least` or more."""
-    hits = lines.filter((F.col("line_no") < first) & F.col("line").rlike(pattern))
+    hits = lines.filter((F.col("line_no") < first) & F.col(text).rlike(pattern))
     jump = F.coalesce((F.col("line_no") - F.lag("line_no").over(in_order(key)) > gap).cast("int"), F.lit(0))
     run = hits.withColumn("jump", jump).withColumn("cluster", F.sum("jump").over(so_far(key))).filter("cluster = 0")
     gone = run.withColumn("n", F.count("*").over(Window.partitionBy(key))).filter(F.col("n") >= least).select(key, "line_no")
@@ -70,50 +61,6 @@ def sentences(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return lines.select(key, "line_no", F.posexplode(parts).alias("sentence_no", "sentence"))
 
 
-def _tokens(text: str) -> int:
-    return len(re.findall(TOKEN, text))
-
-
-def pack(units: list[str], budget: int, overlap: int) -> list[str]:
-    """Units joined into chunks of at most `budget` tokens; a chunk begins with the last units of the one before, up to `overlap` tokens.
-
-    A unit over the budget is cut at words.
-    """
-    small: list[str] = []
-    for u in units:
-        if _tokens(u) <= budget:
-            small.append(u)
-            continue
-        piece: list[str] = []
-        for w in u.split():
-            if piece and _tokens(" ".join([*piece, w])) > budget:
-                small.append(" ".join(piece))
-                piece = []
-            piece.append(w)
-        small += [" ".join(piece)] if piece else []
-    out: list[str] = []
-    now: list[str] = []
-    fresh = False
-    for u in small:
-        if now and _tokens(" ".join([*now, u])) > budget:
-            if fresh:
-                out.append(" ".join(now))
-            tail: list[str] = []
-            while now and _tokens(" ".join([now[-1], *tail])) <= overlap:
-                tail.insert(0, now.pop())
-            now = tail if _tokens(" ".join([*tail, u])) <= budget else []
-            fresh = False
-        now.append(u)
-        fresh = True
-    return out + ([" ".join(now)] if fresh else [])
-
-
-def packed(paragraphs: DataFrame, keys: list[str], units: str = "units", budget: int = 500, overlap: int = 50) -> DataFrame:
-    """keys, part_no and part from paragraphs with an array of units; packing never crosses a paragraph."""
-    cut = F.pandas_udf(lambda s: s.map(lambda u: pack(list(u), budget, overlap)), "array<string>")
-    return paragraphs.select(*keys, F.posexplode(cut(units)).alias("part_no", "part"))
-
-
 def merge_small(parts: DataFrame, keys: list[str], order: str, text: str, tokens: Column, floor: int = 40) -> DataFrame:
     """Parts under the floor join the part before them; leading ones join the first large part."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -122,48 +69,6 @@ def merge_small(parts: DataFrame, keys: list[str], order: str, text: str, tokens
     return grouped.groupBy(*keys, "merged_no").agg(F.array_join(F.transform(pieces, lambda x: x[text]), " ").alias("content"))
 
 
-def chunk_rows(merged: DataFrame, titles: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Numbered chunks with the text to embed: title and section, then the content."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy("section_no", "merged_no")) - 1
-    crumb = F.concat(F.col("title"), F.lit(" › "), F.col("section"), F.lit("\n"), F.col("content"))
-    return merged.join(titles, key).withColumn("chunk_index", n).withColumn("embed_text", crumb)
-
-
-def objective_sections(lines: DataFrame, start: str, end: str, key: str = "doc_id") -> DataFrame:
-    """Lines of ranges that begin after a line matching `start` and end before the first line matching `end` or `start`."""
-    opens, closes = F.col("line").rlike(start), F.col("line").rlike(end)
-    marked = lines.withColumn("mark", F.when(opens, 1).when(closes, 0))
-    marked = marked.withColumn("range_no", F.sum((F.coalesce("mark", F.lit(0)) == 1).cast("int")).over(so_far(key)))
-    inside = F.last("mark", True).over(so_far(key)) == 1
-    return marked.withColumn("inside", inside).filter("inside and mark is null").drop("mark", "inside")
-
-
-def assemble(lines: DataFrame, key: str, new_item: str, complete: str) -> DataFrame:
-    """Items from lines of ranges: a line that matches new_item begins one, others continue it, one that matches complete ends it."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        items: list[list] = []
-        is_open = False
-        for no, line in rows.sort_values("line_no")[["line_no", "line"]].itertuples(index=False):
-            text = " ".join(line.split())
-            if not text:
-                is_open = False
-                continue
-            if not is_open or re.search(new_item, text):
-                items.append([no, text])
-            else:
-                items[-1][1] += " " + text
-            is_open = not re.search(complete, text)
-        return pd.DataFrame({key: rows[key].iloc[0], "range_no": rows["range_no"].iloc[0], "ordinal": range(1, len(items) + 1), "item": [x[1] for x in items]})
-
-    return lines.groupBy(key, "range_no").applyInPandas(one, f"{key} bigint, range_no bigint, ordinal bigint, item string")
-
-
-def objective_confidence(text: Column, verb: str) -> Column:
-    n = F.size(F.split(F.trim(text), r"\s+"))
-    return F.when(text.rlike(r"\((EO|TO)-\d{4}\)") | (text.rlike(verb) & n.between(4, 40)), "high").when(n.between(4, 60), "medium").otherwise("low")
-
-
 def registry(lines: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
     """Labelled lines with an ordinal for each label in order of first appearance, shared by its repeats, and the first of the three lines before."""
     near = F.collect_list(F.when(F.length("line") < 120, F.col("line"))).over(in_order(key).rowsBetween(-3, -1))
@@ -172,13 +77,6 @@ def registry(lines: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
     return first.withColumn("ordinal", F.dense_rank().over(Window.partitionBy(key).orderBy("first_no")))
 
 
-def mentions(chunks: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Chunks (key, chunk_index, content) that hold a label of their own document as whole words."""
-    pairs = chunks.join(labels.select(key, "label").distinct(), key)
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("content"), "[^a-z0-9_]+", " "), F.lit(" "))
-    return pairs.filter(F.contains(padded, F.concat(F.lit(" "), F.regexp_replace(F.lower("label"), "[^a-z0-9_]+", " "), F.lit(" ")))).select(key, "chunk_index", "label").distinct()
-
-
 def band_join(a: DataFrame, b: DataFrame, key: str, place: str, reach: int, best: Column, value: str) -> DataFrame:
     """For each row of a, the value of the best row of b at most `reach` lines away; an equi-join on the places within reach."""
     near = a.withColumn("__at", F.explode(F.sequence(F.col(place) - reach, F.col(place) + reach)))

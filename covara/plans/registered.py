@@ -15,7 +15,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {VIEWS} {sql}" if not sql.lstrip().startswith("WITH ") else f"WITH {VIEWS}, {sql.lstrip()[5:]}"
+            body = sql.lstrip().removeprefix("WITH ")
+            with_, rest = ("WITH RECURSIVE", body.removeprefix("RECURSIVE ")) if body.startswith("RECURSIVE ") else ("WITH", body)
+            SQL[f.__name__] = f"{with_} {VIEWS}{',' if body != sql.lstrip() else ''} {rest}"
         return f
 
     return register

@@ -59,31 +59,6 @@ def subfloor_merge(spark: SparkSession, d: str) -> DataFrame:
     return t.merge_small(parts, ["doc_id"], "section_no", "content", words).select("doc_id", "merged_no", F.md5("content").alias("content_md5"))
 
 
-@query()
-def pack_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of at most 500 tokens of each section, with an overlap of 50."""
-    units = t.sentences(_sections(spark, d).select("doc_id", "section_no", "line_no", "line").withColumn("key", F.struct("doc_id", "section_no")), "key")
-    paragraphs = units.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "sentence_no", "sentence"))), lambda x: x["sentence"]).alias("units"))
-    return t.packed(paragraphs.select("key.doc_id", "key.section_no", "units"), ["doc_id", "section_no"])
-
-
-_START, _END = r"^[A-Z][a-z]+\.$", r"^[A-Z][a-z]+ [a-z]+\.$"
-_RANGES = rf"{_LINES}, flagged AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-Z][a-z]+\.$') THEN 1 WHEN regexp_matches(line, '^[A-Z][a-z]+ [a-z]+\.$') THEN 0 END AS mark FROM line), ranged AS (SELECT *, cast(sum(coalesce(mark, 0)) OVER w AS bigint) AS range_no, last_value(mark IGNORE NULLS) OVER w AS inside FROM flagged WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))"
-
-
-@query(f"WITH {_RANGES} SELECT doc_id, range_no, line_no, length(line) AS n_chars FROM ranged WHERE inside = 1 AND mark IS NULL")
-def objective_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Lines between a one-word line and the next one- or two-word line."""
-    return t.objective_sections(_lines(spark, d), _START, _END).select("doc_id", "range_no", "line_no", F.length("line").cast("bigint").alias("n_chars"))
-
-
-@query()
-def objectives(spark: SparkSession, d: str) -> DataFrame:
-    """Items assembled from those lines: a line that begins upper-case begins an item, one that ends a sentence ends it."""
-    found = t.assemble(t.objective_sections(_lines(spark, d), _START, _END).select("doc_id", "range_no", "line_no", "line"), "doc_id", r"^[A-ZÀ-Þ]", r"[.!?]$")
-    return found.withColumn("confidence", t.objective_confidence(F.col("item"), r"^[A-Z]"))
-
-
 _LABEL = "(?:with|from|nicht|para|pour) [a-z]+"
 _FIGURES = f"{_LINES}, labelled AS (SELECT doc_id, line_no, lower(regexp_extract(line, '(?:with|from|nicht|para|pour) [a-z]+')) AS label FROM line), named AS (SELECT *, min(line_no) OVER (PARTITION BY doc_id, label) AS first_no FROM labelled WHERE label <> '')"
 
@@ -93,12 +68,6 @@ def label_registry(spark: SparkSession, d: str) -> DataFrame:
     return t.registry(_lines(spark, d), _LABEL).select("doc_id", "line_no", "label", "ordinal")
 
 
-@query(f"WITH {_FIGURES} SELECT DISTINCT line.doc_id, cast(line.line_no AS integer) AS chunk_index, label FROM line JOIN (SELECT DISTINCT doc_id, label FROM named) USING (doc_id) WHERE contains(' ' || regexp_replace(lower(line), '[^a-z0-9_]+', ' ', 'g') || ' ', ' ' || label || ' ')")
-def mention_links(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lines(spark, d)
-    return t.mentions(rows.select("doc_id", F.col("line_no").alias("chunk_index"), F.col("line").alias("content")), t.registry(rows, _LABEL))
-
-
 @query(f"WITH {_LINES}, a AS (SELECT doc_id, line_no FROM line WHERE length(line) BETWEEN 1 AND 30), b AS (SELECT doc_id, line_no, length(line) AS size FROM line WHERE length(line) >= 200) SELECT a.doc_id, cast(a.line_no AS integer) AS line_no, arg_max(cast(b.line_no AS integer), (size, -b.line_no)) AS near, count(*) AS candidates FROM a JOIN b ON a.doc_id = b.doc_id AND b.line_no BETWEEN a.line_no - 6 AND a.line_no + 6 GROUP BY ALL")
 def band_join(spark: SparkSession, d: str) -> DataFrame:
     """The longest of the long lines at most six lines from each short line, the first of equals."""
