@@ -50,3 +50,14 @@ def spectrum_sentence(addressed: Column, total: Column, gap: Column) -> Column:
         F.when(total <= 0, F.lit(NO_TOPICS)).when(addressed == 0, F.format_string(NONE_ADDRESSED, total))
         .when(gap == 0, F.format_string(ALL_ADDRESSED, total)).otherwise(F.format_string(SOME_ADDRESSED, addressed, total, gap))
     )
+
+
+#: The sentences on domains and on the grid of cases by systems.
+NO_DOMAINS = "No AAMC domain data yet."
+NO_CELLS = "No sessions or systems to show yet."
+NO_GAP_CELLS = "Every session touches every in-scope system."
+GAP_CELLS = "%d of %d session × system cells show no coverage yet."
+
+
+def grid_sentence(gaps: Column, cells: Column) -> Column:
+    return F.when(cells == 0, F.lit(NO_CELLS)).when(gaps == 0, F.lit(NO_GAP_CELLS)).otherwise(F.format_string(GAP_CELLS, gaps, cells))

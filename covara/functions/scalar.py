@@ -29,14 +29,15 @@ def slug(text: Column, most: int = 80) -> Column:
 
 def child_id(parent: Column, text: Column, most: int = 120, least_slug: int = 16) -> Column:
     room = F.greatest(F.lit(least_slug), F.lit(most) - F.length(parent) - 1)
-    return F.substring(F.concat(parent, F.lit("-"), F.substr(slug(text), F.lit(1), room)), 1, most)
+    return F.substring(F.concat(parent, F.lit(":"), F.substr(slug(text), F.lit(1), room)), 1, most)
 
 
 def scope_hint(label: Column, full: Column, most: int = 120) -> Column:
     """A short form of the full text; null where it is empty or says what the label says."""
     t = clean(full)
     short = F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most)), F.lit("…"))).otherwise(t)
-    return F.when((F.coalesce(t, F.lit("")) != "") & ~F.startswith(F.lower(t), F.lower(clean(label))), short)
+    restated = F.coalesce((clean(label) != "") & F.startswith(F.lower(t), F.lower(clean(label))), F.lit(False))
+    return F.when((F.coalesce(t, F.lit("")) != "") & ~restated, short)
 
 
 def collapse_label(label: Column) -> Column:
@@ -64,12 +65,18 @@ def objective_code(text: Column) -> Column:
 
 
 def page_label(filename: Column, page: Column) -> Column:
-    kind = F.when(F.endswith(F.lower(filename), F.lit(".pptx")), F.lit("Slide ")).otherwise(F.lit("Page "))
-    return F.when(page.isNotNull(), F.concat(kind, page.cast("string")))
+    """`Page n` of a PDF, `Slide n` of slides; null for other files."""
+    name = F.lower(filename)
+    kind = F.when(F.endswith(name, F.lit(".pdf")), F.lit("Page ")).when(F.endswith(name, F.lit(".pptx")), F.lit("Slide "))
+    return F.concat(kind, page.cast("string"))
 
 
-def marker_count(text: Column, marker: str = "") -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(marker), F.lit("")))) / F.lit(len(marker))
+def marker_count(text: Column, marker: str = "\ue000") -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit(marker), F.lit("")))) / F.lit(len(marker))).cast("bigint")
+
+
+def without_markers(text: Column, marker: str = "\ue000") -> Column:
+    return F.replace(text, F.lit(marker), F.lit(""))
 
 
 def locator(path: Column) -> Column:
@@ -88,7 +95,7 @@ def highlighted(text: Column, query: str) -> Column:
 
 
 def suggested_action(label: Column) -> Column:
-    return F.concat(F.lit("Add or extend teaching material on "), label, F.lit("."))
+    return F.concat(F.lit("Consider adding a case or lecture addressing "), label, F.lit(" to close this coverage gap."))
 
 
 def csv_cell(value: Column) -> Column:
@@ -116,6 +123,11 @@ def confidence_band(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "high").when(confidence >= 0.6, "medium").otherwise("low")
 
 
+def confidence_text(confidence: Column) -> Column:
+    """Two decimals; null stays null."""
+    return F.format_string("%.2f", confidence.cast("double"))
+
+
 def percent(part: Column, total: Column) -> Column:
     """Whole percent, halves up; 0 of nothing."""
     return F.when(total > 0, F.floor(part * 100.0 / total + 0.5)).otherwise(F.lit(0)).cast("bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from covara.functions.coverage import distribution, heatmap_cell, level_of
 from covara.functions.predicates import is_reviewed
-from covara.functions.scalar import percent, topic_label
+from covara.functions.scalar import described_label, percent, scope_hint, system_of, topic_label
 
 ENTIRE = "Entire curriculum"
 
@@ -27,9 +27,8 @@ def catalog_of_courses(topics: DataFrame, courses: DataFrame, scopes: DataFrame)
     """The topics of each course: those of its target systems, or all where the course is not curated."""
     curated = scopes.join(topics, "system")
     open_courses = courses.select("course_id").join(scopes, "course_id", "left_anti")
-    # Few courses have no scope: each takes the whole catalog.
-    ids = open_courses.agg(F.sort_array(F.collect_set("course_id")).alias("ids"))
-    every = topics.join(F.broadcast(ids)).select("*", F.explode("ids").alias("course_id")).drop("ids")
+    # Each open course takes the whole catalog; Spark copies the few courses where they are small enough.
+    every = topics.withColumn("_all", F.lit(1)).join(open_courses.withColumn("_all", F.lit(1)), "_all")
     return curated.select("course_id", *topics.columns).unionByName(every.select("course_id", *topics.columns))
 
 
@@ -74,8 +73,8 @@ def heatmap(facts: DataFrame, totals: DataFrame, *keys: str) -> DataFrame:
 
 def dense_heatmap(cells: DataFrame, axis: DataFrame) -> DataFrame:
     """Every case of a course against every system; absent cells are gaps."""
-    systems = axis.agg(F.sort_array(F.collect_set("system")).alias("systems"))  # the fixed axis of the grid
-    grid = cells.select("course_id", "case_number").distinct().join(F.broadcast(systems)).select("course_id", "case_number", F.explode("systems").alias("system"))
+    systems = axis.select("system").distinct().withColumn("_all", F.lit(1))
+    grid = cells.select("course_id", "case_number").distinct().withColumn("_all", F.lit(1)).join(systems, "_all").drop("_all")
     return grid.join(cells.select("course_id", "case_number", "system", "status"), ["course_id", "case_number", "system"], "left").withColumn("status", F.coalesce("status", F.lit("gap")))
 
 
@@ -95,10 +94,68 @@ def top_per_group(rows: DataFrame, keys: list[str], order: list, k: int) -> Data
 
 
 def program_rows(facts: DataFrame) -> DataFrame:
-    """Documents, chunks and courses of each topic over all courses."""
-    return facts.groupBy("framework", "framework_id").agg(
-        F.count_distinct("document_id").alias("docs"), F.count_distinct("document_id", "chunk_index").alias("chunks"), F.count_distinct("course_id").alias("courses")
-    )
+    """Documents, chunks and courses of each topic over all courses, by counts of counts: a chunk has one document, a document one course."""
+    chunks = facts.select("framework", "framework_id", "course_id", "document_id", "chunk_index").distinct().groupBy("framework", "framework_id", "course_id", "document_id").agg(F.count("*").alias("chunks"))
+    of_course = chunks.groupBy("framework", "framework_id", "course_id").agg(F.count("*").alias("docs"), F.sum("chunks").alias("chunks"))
+    return of_course.groupBy("framework", "framework_id").agg(F.sum("docs").alias("docs"), F.sum("chunks").alias("chunks"), F.count("*").alias("courses"))
+
+
+def topic_partials(links: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Documents and chunks of each topic in each course, with its least label and its system.
+
+    links have (framework, framework_id, label, course_id, document_id, chunk_index); the catalog (stable_id, system) need
+    not know a topic: then its label says the system.
+    """
+    keys = ["framework", "framework_id", "course_id"]
+    chunks = links.groupBy(*keys, "document_id", "chunk_index").agg(F.min("label").alias("label"))
+    documents = chunks.groupBy(*keys, "document_id").agg(F.count("*").alias("chunks"), F.min("label").alias("label"))
+    topics = documents.groupBy(*keys).agg(F.count("*").alias("docs"), F.sum("chunks").alias("chunks"), F.min("label").alias("label"))
+    known = catalog.groupBy(F.col("stable_id").alias("framework_id")).agg(F.min("system").alias("domain"))
+    return topics.join(known, "framework_id", "left").select(*keys, "label", system_of(F.col("domain"), F.col("label")).alias("system"), "docs", "chunks")
+
+
+def topics_in_scopes(partials: DataFrame, modules: DataFrame) -> DataFrame:
+    """Topics of each scope (the whole curriculum and every module) from their rows for each course (topic_partials); modules: course_id, module."""
+    spread = partials.join(modules, "course_id").withColumn("scope", F.explode(F.array(F.lit(ENTIRE), F.col("module"))))
+    return spread.groupBy("scope", "framework", "framework_id").agg(F.sum("docs").alias("docs"), F.sum("chunks").alias("chunks"), F.count("*").alias("courses"), F.min("label").alias("label"), F.min("system").alias("system"))
+
+
+def case_systems(links: DataFrame, catalog: DataFrame, *keys: str) -> DataFrame:
+    """Topics that each case touches of each system; a topic off the catalog has the system that its label says. Links without a case do not count."""
+    inner = links.filter("case_number is not null").groupBy(*keys, "case_number", "framework_id").agg(F.min("label").alias("label"))
+    known = catalog.groupBy(F.col("stable_id").alias("framework_id")).agg(F.min("system").alias("domain"))
+    named = inner.join(known, "framework_id", "left").withColumn("system", system_of(F.col("domain"), F.col("label")))
+    return named.groupBy(*keys, "case_number", "system").agg(F.count("*").alias("touched"))
+
+
+def scoped_totals(catalog: DataFrame) -> DataFrame:
+    """Sizes of the systems of each course's catalog; systems outside its scope have none."""
+    return catalog.groupBy("course_id", "system").agg(F.count("*").alias("total"))
+
+
+def case_heatmap(touched: DataFrame, totals: DataFrame) -> DataFrame:
+    """Cells of each course and case against totals that may be cut to a scope: a system without a total is a gap."""
+    return touched.join(totals, ["course_id", "system"], "left").withColumn("status", heatmap_cell(F.col("touched"), F.col("total")))
+
+
+def case_slice(cells: DataFrame, case: int) -> DataFrame:
+    return cells.filter(F.col("case_number") == case).select("course_id", "system", "status")
+
+
+def course_coverage_rows(links: DataFrame, courses: DataFrame, scopes: DataFrame, systems_catalog: DataFrame, competencies: DataFrame, notes: DataFrame) -> DataFrame:
+    """Every topic of both catalogs for each course: framework, system, topic, docs, courses (0 or 1), level, stable_id, elsewhere and detail.
+
+    The first catalog (stable_id, system, subdomain, full_text) is cut to the systems that a course targets; the
+    second (stable_id, sub_id, domain, description) is whole for each. notes (stable_id, elsewhere) say where else a topic is taught.
+    """
+    counts = documents_per_topic(links, "course_id").withColumnRenamed("framework_id", "stable_id")
+    first = with_gaps(catalog_of_courses(systems_catalog, courses, scopes), counts, ["course_id", "stable_id"]).join(notes, "stable_id", "left")
+    first = first.select("course_id", F.lit("USMLE").alias("framework"), "system", topic_label(F.col("system"), F.col("subdomain")).alias("topic"), "docs", "stable_id", "elsewhere", scope_hint(F.col("subdomain"), F.col("full_text")).alias("detail"))
+    every = competencies.withColumn("_all", F.lit(1)).join(courses.select("course_id").withColumn("_all", F.lit(1)), "_all").drop("_all")
+    second = with_gaps(every, counts, ["course_id", "stable_id"])
+    second = second.select("course_id", F.lit("AAMC").alias("framework"), F.col("domain").alias("system"), described_label(F.col("sub_id"), F.col("stable_id").cast("string"), F.col("description")).alias("topic"), "docs", "stable_id")
+    rows = first.unionByName(second, allowMissingColumns=True)
+    return rows.withColumns({"courses": F.when(F.col("docs") > 0, 1).otherwise(0), "level": level_of(F.col("docs"))})
 
 
 def learning_spiral(facts: DataFrame, k: int = 8) -> DataFrame:

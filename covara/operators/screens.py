@@ -100,3 +100,43 @@ def require_at_most(rows: DataFrame, most: int) -> DataFrame:
 def linked_side(links: DataFrame, wanted: str, condition: Column | None = None) -> DataFrame:
     """Distinct values of one side of the links that meet the condition on the other; all without a condition."""
     return (links if condition is None else links.filter(condition)).select(wanted).filter(F.col(wanted).isNotNull()).distinct()
+
+
+#: The columns of the export of objectives.
+OBJECTIVE_COLUMNS = (
+    "module", "course_code", "course_title", "case_number", "case_title", "ordinal", "objective_code", "objective", "section", "extraction_method", "confidence", "source_filename", "source_page", "source_excerpt", "objective_id", "document_id",
+)
+
+
+def activityless(rolled: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether each key has no activity but Unassigned; rolled as of rollup_activities."""
+    return rolled.groupBy(*keys).agg((F.count_if(F.col("activity") != "Unassigned") == 0).alias("activityless"))
+
+
+def course_payload(courses: DataFrame, distributions: DataFrame, cells: DataFrame, recent: DataFrame, percents: DataFrame) -> DataFrame:
+    """One row for each course: its distributions, heatmap cells, recent links and percents of domains as ordered text lists."""
+    of_course = lambda rows, order, text, name: rows.groupBy("course_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text.alias("_text")))), lambda x: x["_text"]), ",").alias(name))
+    t = lambda *c: F.concat_ws(":", *(F.col(x).cast("string") for x in c))
+    out = courses.select("course_id")
+    for rows, order, text, name in (
+        (distributions, ["framework"], F.concat("framework", F.lit(":"), "addressed", F.lit("/"), "total"), "distributions"),
+        (cells, ["case_number", "system"], t("case_number", "system", "status"), "heatmap"),
+        (recent, ["rank"], t("document_id", "framework_id"), "recent"),
+        (percents, ["system"], t("system", "percent"), "percents"),
+    ):
+        out = out.join(of_course(rows, order, text, name), "course_id", "left")
+    return out
+
+
+def map_media(documents: DataFrame, links: DataFrame, assets: DataFrame) -> DataFrame:
+    """Distinct assets (asset_id, label) of each chunk (document_id, chunk_index) of each course."""
+    rows = links.join(documents.select("document_id", "course_id"), "document_id").join(assets, "asset_id")
+    return rows.groupBy("course_id", "document_id", "chunk_index").agg(F.array_sort(F.collect_set(F.struct("asset_id", "label"))).alias("assets"))
+
+
+def objectives_summary(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Counts of each key's objectives by method, and by case with the title of its first row. Only rows that say so count as found by pattern."""
+    method = F.col("extraction_method")
+    cases = rows.groupBy(key, "case_number").agg(F.count("*").alias("count"), F.min_by("case_title", F.struct(*order)).alias("case_title"), F.count_if(method == "regex").alias("regex"), F.count_if(method == "llm_cleanup").alias("llm"))
+    listed = F.array_sort(F.collect_list(F.struct("case_number", "case_title", "count")))
+    return cases.groupBy(key).agg(F.sum("count").alias("total"), F.sum("regex").alias("regex_count"), F.sum("llm").alias("llm_count"), listed.alias("by_case"))

@@ -39,24 +39,19 @@ def lens_top_topics(spark: SparkSession, d: str) -> DataFrame:
     return r.top_per_group(counts, ["course_id", "lens"], [F.desc("chunks"), "framework_id"], 8)
 
 
-@query(f"WITH {_LENS}, totals AS (SELECT system, count(*) AS total FROM topic GROUP BY ALL), touched AS (SELECT lens, case_number, system, count(DISTINCT framework_id) AS touched FROM lens WHERE course_id = 0 GROUP BY ALL) SELECT lens, case_number, system, touched, total, CASE WHEN touched * 1.0 / total >= 0.5 THEN 'covered' ELSE 'partial' END AS status FROM touched JOIN totals USING (system)")
-def lens_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    """The heatmap of one course under each lens."""
-    return r.heatmap(lenses(v.facts(spark, d).filter("course_id = 0")), v.topics(spark, d).groupBy("system").agg(F.count("*").alias("total")), "lens")
-
-
 @query("WITH parts AS (SELECT course_id, document_id, avg(cast(confidence AS double)) AS a, count(*) AS n FROM fact GROUP BY ALL) SELECT course_id, cast(sum(n) AS bigint) AS links, round(sum(a * n) / sum(n), 9) AS average_confidence FROM parts GROUP BY ALL")
 def weighted_confidence(spark: SparkSession, d: str) -> DataFrame:
     parts = v.facts(spark, d).groupBy("course_id", "document_id").agg(F.avg(F.col("confidence").cast("double")).alias("average_confidence"), F.count("*").alias("links"))
     return r.recombine_averages(parts, ["course_id"], "average_confidence", "links").withColumn("average_confidence", F.round("average_confidence", 9))
 
 
-@query("WITH chunk AS (SELECT document_id, chunk_index, framework_id, max(confidence) AS confidence FROM fact WHERE course_id = 1 AND confidence >= 0.8 GROUP BY ALL) SELECT document_id, chunk_index, array_to_string(list(framework_id ORDER BY framework_id), ',') AS topics, count(*) AS n FROM chunk GROUP BY ALL")
+@query("WITH wanted AS (SELECT unnest(['all', 'AAMC', 'USMLE']) AS wanted), chunk AS (SELECT DISTINCT wanted, course_id, document_id, chunk_index, framework_id FROM fact, wanted WHERE confidence >= 0.8 AND (wanted = 'all' OR starts_with(framework, wanted))) SELECT wanted, course_id, document_id, chunk_index, array_to_string(list(framework_id ORDER BY framework_id), ',') AS topics, count(*) AS n FROM chunk GROUP BY ALL")
 def map_nested(spark: SparkSession, d: str) -> DataFrame:
-    """Topics of every chunk of a course's map, as an ordered list."""
-    shown = v.facts(spark, d).filter("course_id = 1").filter(map_visible("confidence", "framework", 0.8))
-    pairs = shown.select("document_id", "chunk_index", "framework_id").distinct()
-    return pairs.groupBy("document_id", "chunk_index").agg(F.array_join(F.array_sort(F.collect_list("framework_id")), ",").alias("topics"), F.count("*").alias("n"))
+    """Topics of every chunk of each course's map, as an ordered list, for each choice of framework."""
+    facts = v.facts(spark, d)
+    shown = [facts.filter(map_visible("confidence", "framework", 0.8, w)).select(F.lit(w).alias("wanted"), "course_id", "document_id", "chunk_index", "framework_id") for w in ("all", "AAMC", "USMLE")]
+    pairs = shown[0].unionByName(shown[1]).unionByName(shown[2]).distinct()
+    return pairs.groupBy("wanted", "course_id", "document_id", "chunk_index").agg(F.array_join(F.array_sort(F.collect_list("framework_id")), ",").alias("topics"), F.count("*").alias("n"))
 
 
 @query("WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY course_id, case_number ORDER BY guide_kind = 'faculty' DESC, document_id) AS n FROM document) SELECT course_id, case_number, document_id, guide_kind FROM ranked WHERE n = 1")
@@ -86,7 +81,12 @@ def confidence_bands(spark: SparkSession, d: str) -> DataFrame:
     return v.facts(spark, d).groupBy("course_id", confidence_band(F.col("confidence")).alias("band")).agg(F.count("*").alias("links"))
 
 
-@query("WITH sections AS (SELECT course_id, case_number, chunk_index, max(document_id) AS representative, min(document_id) AS first_seen FROM fact GROUP BY ALL) SELECT * FROM sections")
+@query("WITH sections AS (SELECT course_id, case_number, chunk_index, arg_max(document_id, (created_at, document_id)) AS representative, min((created_at, document_id)) AS first_seen FROM fact GROUP BY ALL) SELECT course_id, case_number, chunk_index, representative, cast(row_number() OVER (PARTITION BY course_id, case_number ORDER BY first_seen, chunk_index) AS integer) AS place FROM sections")
 def tree_sections(spark: SparkSession, d: str) -> DataFrame:
-    """A representative chunk (the last) of each section of each case, and where the section first appears."""
-    return v.facts(spark, d).groupBy("course_id", "case_number", "chunk_index").agg(F.max("document_id").alias("representative"), F.min("document_id").alias("first_seen"))
+    """A representative (the last in order) of each section of each case, sections in order of first appearance; links by time stand for chunks in order."""
+    return tree(v.facts(spark, d), ["course_id", "case_number"], "chunk_index", ["created_at", "document_id"], "document_id")
+
+
+def tree(chunks: DataFrame, keys: list[str], section: str, order: list[str], chunk: str) -> DataFrame:
+    found = chunks.groupBy(*keys, section).agg(F.max_by(chunk, F.struct(*order)).alias("representative"), F.min(F.struct(*order)).alias("first_seen"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("first_seen", section))).drop("first_seen")

@@ -9,19 +9,27 @@ from covara.functions.scalar import csv_cell
 
 
 def csv_rows(rows: DataFrame, note: str, columns: list[str], order: list[str]) -> DataFrame:
-    """line_no and line: a note, the header, then the rows in order, all cells quoted."""
-    spark = rows.sparkSession
-    quote = lambda x: '"' + x.replace('"', '""') + '"'
-    head = spark.createDataFrame([(-2, quote(note)), (-1, ",".join(map(quote, columns)))], "line_no bigint, line string")
+    """line_no and line: a quoted note, the header, then the rows in order, all cells quoted and guarded.
+
+    Rows are sorted over all tasks and numbered by task and place, so that no task holds them all; the
+    numbers ascend with gaps.
+    """
+    quote = lambda x: '"# ' + x.replace('"', '""') + '"'
+    head = rows.sparkSession.createDataFrame([(-2, quote(note)), (-1, ",".join(columns))], "line_no bigint, line string")
     body = rows.orderBy(*order).select(F.concat_ws(",", *(csv_cell(F.col(c)) for c in columns)).alias("line")).withColumn("line_no", F.monotonically_increasing_id())
-    return head.unionByName(body).orderBy("line_no")
+    return head.unionByName(body)
 
 
 def json_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.to_json(F.struct(*columns)).alias("line"))
 
 
-def json_document(rows: DataFrame, columns: list[str], order: str, **fields: str) -> DataFrame:
-    """One document with the given fields and all rows as topics; for results that fit in one value."""
-    topics = F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order])))
-    return rows.agg(F.to_json(F.struct(*(F.lit(x).alias(k) for k, x in fields.items()), topics.alias("topics"))).alias("line"))
+def json_document(rows: DataFrame, columns: list[str], order: list[str], name: str = "topics", summary: DataFrame | None = None, **fields: str) -> DataFrame:
+    """One document with the given fields, a summary (one row) and all rows under a name; for results that fit in one value."""
+    key = F.struct(*order, *[c for c in columns if c not in order])
+    listed = F.transform(F.array_sort(F.collect_list(key)), lambda x: F.struct(*(x[c].alias(c) for c in columns)))
+    one = rows.agg(listed.alias("rows"))
+    if summary is not None:
+        one = one.join(summary.select(F.struct(*summary.columns).alias("summary")))  # one row each
+    parts = [F.lit(x).alias(k) for k, x in fields.items()] + ([F.col("summary")] if summary is not None else [])
+    return one.select(F.to_json(F.struct(*parts, F.col("rows").alias(name))).alias("line"))

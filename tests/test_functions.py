@@ -50,7 +50,14 @@ CASES = [
     (lambda: scalar.vector_to_text(scalar.vector_from_text(F.lit("[1.5,2]"))), "[1.5,2.0]"),
     (lambda: scalar.scope_hint(F.lit("Renal"), F.lit("Renal tract")), None),
     (lambda: scalar.scope_hint(F.lit("Renal"), F.lit("x" * 130)), "x" * 120 + "…"),
-    (lambda: scalar.child_id(F.lit("p" * 110), F.lit("long topic name of many words")), ("p" * 110 + "-long-topic-name-")[:120]),
+    (lambda: scalar.scope_hint(F.lit(None).cast("string"), F.lit("Renal tract")), "Renal tract"),
+    (lambda: scalar.scope_hint(F.lit(" "), F.lit("Renal tract")), "Renal tract"),
+    (lambda: scalar.page_label(F.lit("a.PDF"), F.lit(3)), "Page 3"),
+    (lambda: scalar.page_label(F.lit("a.docx"), F.lit(3)), None),
+    (lambda: scalar.marker_count(F.lit("a\ue000b\ue000")), 2),
+    (lambda: scalar.extraction_scope(F.lit("faculty"), F.lit("pdf")), "pdf_pending"),
+    (lambda: scalar.confidence_text(F.lit(0.456)), "0.46"),
+    (lambda: scalar.child_id(F.lit("p" * 110), F.lit("long topic name of many words")), ("p" * 110 + ":long-topic-name-")[:120]),
     (lambda: lines.excerpt(F.lit("a" * 70 + " word " + "b" * 70), F.lit("word"), 5), "…aaaa word bbbb…"),
 ]
 
@@ -61,15 +68,6 @@ def test_scalars(spark, i):
     assert one(spark, make()) == want
 
 
-def test_packing():
-    units = ["one two three.", "four five six.", "w " * 25 + "end."]
-    parts = lines.pack(units, 8, 4)
-    assert all(lines._tokens(p) <= 8 for p in parts)
-    words = " ".join(parts).split()
-    assert [w for w in "one two three. four five six.".split() if w not in words] == [] and words.count("w") >= 25
-    assert lines.pack([], 8, 4) == [] and lines.pack(["all in one."], 8, 4) == ["all in one."]
-
-
 def test_upsert_and_reconcile(spark):
     old = spark.createDataFrame([(1, None, "a"), (1, 2, "b"), (2, 1, "c")], "d int, k int, v string")
     new = spark.createDataFrame([(1, None, "x"), (1, 3, "y")], "d int, k int, v string")
@@ -98,7 +96,7 @@ def test_readers(spark, tmp_path):
     df = spark.range(5)
     assert readers.snapshot({"r": df}, str(tmp_path / "v1")) == {"r": 5} and readers.restore(spark, str(tmp_path / "v1"), ["r"])["r"].count() == 5
     rows = exports.csv_rows(spark.createDataFrame([(2, "=x"), (1, "a,b")], "n int, t string"), "Note", ["n", "t"], ["n"])
-    assert [r.line for r in rows.orderBy("line_no").collect()] == ['"Note"', '"n","t"', '"1","a,b"', '"2","\'=x"']
+    assert [r.line for r in rows.orderBy("line_no").collect()] == ['"# Note"', "n,t", '"1","a,b"', '"2","\'=x"']
 
 
 def test_scored_json(spark):
