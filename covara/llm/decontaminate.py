@@ -13,7 +13,6 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -185,11 +184,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHAR
 def _is_clean(sent: Broadcast, least_item_chars: int):
     number = uuid.uuid4().hex
 
-    def clean(texts: pd.Series) -> pd.Series:
+    def clean(texts: pa.Array) -> pa.Array:
         automaton = _kept_automaton(number, sent.value)
-        return pd.Series([not matches(normalised(x), sent.value, automaton, least_item_chars) for x in texts], dtype=bool)
+        return pa.array([not matches(normalised(x.as_py()), sent.value, automaton, least_item_chars) for x in texts], pa.bool_())
 
-    return F.pandas_udf(clean, "boolean")
+    return F.arrow_udf(clean, "boolean")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, least_item_chars: int = LEAST_ITEM_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,12 +132,12 @@ def quality_rules(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = B
 def quality_verdict(text: Column) -> Column:
     """The verdict kept of quality_rules() with its default limits, as a Boolean column."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
         kept = [judge(part.column("text"), BANDS, CHUNK_BYTES, BAD_CHUNK_SHARE)["kept"] for part in ta.slices(batch)]
-        return pd.Series(np.concatenate(kept) if kept else np.zeros(0, bool))
+        return pa.array(np.concatenate(kept) if kept else np.zeros(0, bool), pa.bool_())
 
-    return F.pandas_udf(run, "boolean")(text)
+    return F.arrow_udf(run, "boolean")(text)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,24 +243,28 @@ def redact_secrets(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]",
     """
     limits = random_limits(rate, prior)
 
-    def cut(column: pd.Series) -> pd.Series:
-        texts = column.tolist()
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
-        done = 0
+    def cut(column: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([column], names=["text"])
+        parts = []
         for part in ta.slices(batch):
-            for i, both in enumerate(zip(*scan_texts(part.column(0), limits))):
-                spans = sorted(x[:2] for found in both for x in found)
-                if spans:
-                    text, out, at = texts[done + i], [], 0
+            texts, changed = part.column(0), {}
+            for i, both in enumerate(zip(*scan_texts(texts, limits))):
+                if spans := sorted(x[:2] for found in both for x in found):
+                    text, out, at = texts[i].as_py(), [], 0
                     for s, e in spans:
                         if s >= at:
                             out += [text[at:s], mark]
                         at = max(at, e)
-                    texts[done + i] = "".join(out) + text[at:]
-            done += part.num_rows
-        return pd.Series(texts, dtype=object)
-
-    clean = F.pandas_udf(cut, "string")(F.col("text"))
+                    changed[i] = "".join(out) + text[at:]
+            if changed:
+                values = texts.to_pylist()
+                for i, x in changed.items():
+                    values[i] = x
+                texts = pa.array(values, pa.string())
+            parts.append(texts.cast(pa.string()))
+        return pa.concat_arrays(parts) if parts else column.cast(pa.string())
+
+    clean = F.arrow_udf(cut, "string")(F.col("text").cast("string"))
     out = docs.withColumn("text", clean)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
