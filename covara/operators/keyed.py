@@ -141,3 +141,39 @@ def first_wins(rows: DataFrame, owner: str, key: Column, order: str, ordinal: st
 def require_short_ids(rows: DataFrame, column: str, most: int) -> DataFrame:
     bad = F.raise_error(F.concat(F.lit(f"{column} is longer than {most}: "), F.col(column)))
     return rows.withColumn(column, F.when(F.length(column) > most, bad).otherwise(F.col(column)))
+
+
+def reembed_set(chunks: DataFrame, links: DataFrame, assets: DataFrame, chunk: str = "chunk_id", asset: str = "asset_id") -> DataFrame:
+    """chunk and reason of the chunks to embed: those without a vector, and those linked to an asset whose caption came from the sheet."""
+    told = links.join(assets.filter(F.col("caption_source") == "csv").select(asset), asset, "left_semi").select(chunk).distinct().withColumn("_told", F.lit(True))
+    rows = chunks.join(told, chunk, "left")
+    return rows.filter(F.col("embedding").isNull() | F.col("_told")).select(chunk, F.when(F.col("embedding").isNull(), "no vector").otherwise("caption").alias("reason"))
+
+
+def to_process(documents: DataFrame, status: DataFrame, owner: str, skip_complete: bool = True, force: bool = False) -> DataFrame:
+    """The documents that a run takes: all, or all but the complete ones (status as pipeline_status gives it) unless forced."""
+    if force or not skip_complete:
+        return documents
+    return documents.join(status.filter("state = 'complete'").select(owner), owner, "left_anti")
+
+
+def isolated(rows: DataFrame, work: dict[str, Column], checks: dict[str, Column]) -> DataFrame:
+    """rows with the columns of work and error: the name of the first check that a row fails, null where all hold.
+
+    Work of a row that fails is null, so one bad document does not stop the others.
+    """
+    error = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()))
+    return rows.withColumn("error", error).withColumns({k: F.when(F.col("error").isNull(), c) for k, c in work.items()})
+
+
+def force_reseed(catalog: DataFrame, fresh: DataFrame, cache: DataFrame, prefix: str, key: str = "stable_id") -> tuple[DataFrame, DataFrame]:
+    """(the catalog with its rows of a prefix replaced by the fresh ones, without vectors; the cache (id, vector) without ids of the prefix)."""
+    other = catalog.filter(~F.startswith(key, F.lit(prefix)))
+    new = fresh.filter(F.startswith(key, F.lit(prefix))).withColumn("embedding", F.lit(None).cast(catalog.schema["embedding"].dataType))
+    return other.unionByName(new.select(*catalog.columns)), cache.filter(~F.startswith("id", F.lit(prefix)))
+
+
+def upsert_catalog(catalog: DataFrame, fresh: DataFrame, key: str = "stable_id") -> DataFrame:
+    """The catalog with fresh rows put in by key; rows that have a vector stay as they are."""
+    done = catalog.filter("embedding is not null").select(key)
+    return upsert(catalog, fresh.join(done, key, "left_anti"), [key])

@@ -50,10 +50,13 @@ def with_pages(lines: DataFrame, marker: str, key: str = "doc_id") -> DataFrame:
     return lines.withColumn("page", F.when(F.sum(n).over(Window.partitionBy(key)) > 0, (1 + before).cast("long")))
 
 
-def with_offsets(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Every line with the place of its first character, for lines that end in one character."""
-    before = F.sum(F.length("line") + 1).over(in_order(key).rowsBetween(Window.unboundedPreceding, -1))
-    return lines.withColumn("offset", F.coalesce(before, F.lit(0)))
+def with_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every line (key, line_no, line) with the place of its first character, for lines that end in CR LF, LF or CR."""
+    ends = F.regexp_extract_all(text, F.lit(r"(\r\n|\n|\r)"), F.lit(1))
+    rows = docs.select(key, ends.alias("ends"), F.posexplode(F.split(text, r"\r\n|\n|\r", -1)).alias("line_no", "line"))
+    size = F.length("line") + F.length(F.coalesce(F.get("ends", F.col("line_no")), F.lit("")))
+    before = F.sum(size).over(in_order(key).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("offset", F.coalesce(before, F.lit(0)).cast("bigint")).drop("ends")
 
 
 def sentences(lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -97,8 +100,9 @@ def gap_triage(hits: DataFrame) -> DataFrame:
 
 
 def excerpt(text: Column, word: Column, radius: int = 60) -> Column:
-    """The surroundings of the first occurrence of a word, with ellipses where text is left out."""
-    at = F.instr(F.lower(text), word)
+    """The surroundings of the first occurrence of a whole word, in any case, with ellipses where text is left out."""
+    quoted = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), word, F.lit(r"\E(?![A-Za-z0-9_])"))
+    at = F.regexp_instr(text, quoted)
     begin = F.greatest(F.lit(1), at - radius)
     stop = at + F.length(word) + radius
     cut = F.substr(text, begin, stop - begin)

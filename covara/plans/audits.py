@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covara.functions.scalar import csv_cell, slug, topic_label
-from covara.operators import lines as t
+from covara.functions.scalar import normalised, slug, topic_label
 from covara.plans.registered import query
 from covara.plans.texts import _LINES, _lines
 from covara.sources import exports
 from covara.sources import views as v
 
 
-def chunk_audit_rows(chunks: DataFrame, key: str, index: str, text: str, tokens: str, large: int = 8000, small: int = 40) -> DataFrame:
-    """Per document: chunks, tokens, largest chunk, small chunks, and boundaries that cut a sentence."""
-    after = F.lead(text).over(Window.partitionBy(key).orderBy(index))
-    cut = after.isNotNull() & ~F.rtrim(text).rlike(r"[.!?:]$") & F.ltrim(after).rlike("^[a-z]")
-    rows = chunks.withColumn("cut", cut).withColumn("followed", after.isNotNull())
-    n = F.count("*")
-    out = rows.groupBy(key).agg(n.alias("chunks"), F.sum(tokens).alias("tokens"), F.max(tokens).alias("largest"), F.when(n > 1, F.count_if(F.col(tokens) < small)).otherwise(F.lit(0)).cast("bigint").alias("small"), F.count_if("cut").alias("cuts"), F.count_if("followed").alias("boundaries"))
-    return out.withColumn("collapsed", (F.col("largest") > large) & (F.col("largest") > 0.4 * F.col("tokens"))).withColumn("cut_rate_high", F.col("cuts") > 0.1 * F.col("boundaries"))
-
-
-@query(f"WITH {_LINES}, chunk AS (SELECT *, length(line) AS tokens, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS after FROM line), audit AS (SELECT doc_id, count(*) AS chunks, sum(tokens)::bigint AS tokens, cast(max(tokens) AS integer) AS largest, CASE WHEN count(*) > 1 THEN count(*) FILTER (tokens < 40) ELSE 0 END AS small, count(*) FILTER (after IS NOT NULL AND NOT regexp_matches(rtrim(line, ' '), '[.!?:]$') AND regexp_matches(ltrim(after, ' '), '^[a-z]')) AS cuts, count(*) FILTER (after IS NOT NULL) AS boundaries FROM chunk GROUP BY ALL) SELECT *, largest > 8000 AND largest > 0.4 * tokens AS collapsed, cuts > 0.1 * boundaries AS cut_rate_high FROM audit")
-def chunk_audit(spark: SparkSession, d: str) -> DataFrame:
-    """The audit of documents whose lines are their chunks, in characters."""
-    return chunk_audit_rows(_lines(spark, d).withColumn("tokens", F.length("line")), "doc_id", "line_no", "line", "tokens")
-
-
-@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL AND n_chars < 200")
-def missing_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Short documents without a label, minus an allow-list (those with one)."""
-    return v.table(spark, d, "documents").filter("n_chars < 200").join(v.table(spark, d, "labels").filter("quality is not null"), "doc_id", "left_anti").select("doc_id")
-
-
 @query("SELECT item_id, length(text) BETWEEN 4 AND 130 AS length_ok, regexp_matches(text, '^[A-Z]') AS starts_ok, regexp_matches(text, '[A-Za-z0-9)]$') AS ends_ok, length(replace(text, '(', '')) = length(replace(text, ')', '')) AS balanced FROM benchmark")
 def label_wellformed(spark: SparkSession, d: str) -> DataFrame:
     """Checks of labels; parentheses must balance at every place."""
@@ -42,11 +19,22 @@ def label_wellformed(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "benchmark").select("item_id", F.length("text").between(4, 130).alias("length_ok"), F.col("text").rlike("^[A-Z]").alias("starts_ok"), F.col("text").rlike("[A-Za-z0-9)]$").alias("ends_ok"), depth.alias("balanced"))
 
 
-@query("""SELECT doc_id, '"' || doc_id || '","' || CASE WHEN regexp_matches(first, '^[=+\\-@\t\r]') THEN '''' ELSE '' END || replace(first, '"', '""') || '"' AS line FROM (SELECT doc_id, string_split(text, chr(10))[1] AS first FROM documents WHERE text IS NOT NULL)""")
+@query("""WITH body AS (SELECT '"' || doc_id || '","' || CASE WHEN regexp_matches(coalesce(text, ''), '^[=+\\-@\t\r]') THEN chr(39) ELSE '' END || replace(coalesce(text, ''), '"', '""') || '"' AS line FROM documents) SELECT md5(line) AS line_md5, count(*) AS n FROM (SELECT line FROM body UNION ALL SELECT 'doc_id,text' UNION ALL SELECT '"# All ""quoted"" texts"') GROUP BY ALL""")
 def csv_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Quoted and guarded cells of the first line of each document."""
-    first = v.table(spark, d, "documents").filter("text is not null").withColumn("first", F.split_part("text", F.lit("\n"), F.lit(1)))
-    return first.select("doc_id", F.concat_ws(",", csv_cell(F.col("doc_id")), csv_cell(F.col("first"))).alias("line"))
+    """Lines of an export of whole texts: note, header, quoted and guarded cells."""
+    rows = exports.csv_rows(v.table(spark, d, "documents"), 'All "quoted" texts', ["doc_id", "text"], ["doc_id"])
+    return rows.groupBy(F.md5("line").alias("line_md5")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT framework, string_agg('{"system":"' || system || '","subdomain":"' || subdomain || '","stable_id":' || stable_id || '}', ',' ORDER BY system, subdomain, stable_id) AS rows, count(*) AS n FROM topic GROUP BY ALL) SELECT framework, '{"method":"counts","scope":"' || framework || '","summary":{"topics":' || n || '},"topics":[' || rows || ']}' AS line FROM t""")
+def json_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One document for each framework: method, scope, summary and topics in order."""
+    topics, found = v.topics(spark, d), []
+    for name in ("AAMC", "USMLE"):
+        rows = topics.filter(F.col("framework") == name)
+        document = exports.json_document(rows, ["system", "subdomain", "stable_id"], ["system", "subdomain", "stable_id"], summary=rows.agg(F.count("*").alias("topics")), method="counts", scope=name)
+        found.append(document.select(F.lit(name).alias("framework"), "line"))
+    return found[0].unionByName(found[1])
 
 
 @query("""SELECT '{"stable_id":' || stable_id || ',"system":"' || system || '","subdomain":"' || subdomain || '"}' AS line FROM topic""")
@@ -72,14 +60,29 @@ def embedded_counts(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "embeddings").groupBy("label").agg(n.alias("n"), e.alias("embedded"), ((n > 0) & (e >= n)).alias("complete"))
 
 
-@query(f"WITH {_LINES} SELECT item_id, doc_id FROM benchmark JOIN line ON contains(regexp_replace(trim(lower(line), ' '), ' +', ' ', 'g'), regexp_replace(trim(lower(string_split(benchmark.text, chr(10))[1]), ' '), ' +', ' ', 'g')) WHERE length(string_split(benchmark.text, chr(10))[1]) >= 12 GROUP BY ALL")
+@query("WITH total AS (SELECT status, count(*) AS links FROM link GROUP BY ALL), declared AS (SELECT label, max(vec_id) + 1 AS declared, count(embedding) AS counted FROM embeddings GROUP BY ALL) SELECT 'status ' || coalesce(status, 'none') AS what, links AS declared, links AS counted, false AS mismatch FROM total UNION ALL SELECT 'label ' || label, declared, counted, declared <> counted FROM declared")
+def consistency_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of links by status, and declared against counted vectors of each label; the last id stands for what was declared."""
+    links = v.links(spark, d).groupBy("status").agg(F.count("*").alias("n")).select(F.concat(F.lit("status "), F.coalesce("status", F.lit("none"))).alias("what"), F.col("n").alias("declared"), F.col("n").alias("counted"))
+    vectors = v.table(spark, d, "embeddings").groupBy("label").agg((F.max("vec_id") + 1).alias("declared"), F.count("embedding").alias("counted")).select(F.concat(F.lit("label "), "label").alias("what"), "declared", "counted")
+    return links.unionByName(vectors).withColumn("mismatch", F.col("declared") != F.col("counted"))
+
+
+_CANDIDATES = "candidate AS (SELECT doc_id, line_no, '  ' || replace(line, ' ', '  ') || chr(10) AS text FROM line UNION ALL SELECT doc_id + 1, 1000000 + line_no, line FROM line)"
+_NORMAL = lambda c: f"trim(regexp_replace(lower({c}), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
+
+
+@query(f"WITH {_LINES}, {_CANDIDATES} SELECT doc_id, cast(line_no AS bigint) AS candidate FROM candidate c JOIN documents d USING (doc_id) WHERE length({_NORMAL('c.text')}) >= 12 AND contains({_NORMAL('d.text')}, {_NORMAL('c.text')})")
 def verbatim_items(spark: SparkSession, d: str) -> DataFrame:
-    """First lines of items that a document line holds word for word: an equi-join on the item's rarest kind of word, then a containment test."""
-    norm = lambda c: F.regexp_replace(F.trim(F.lower(c)), " +", " ")
-    items = v.table(spark, d, "benchmark").withColumn("first", F.split_part("text", F.lit("\n"), F.lit(1))).filter(F.length("first") >= 12)
-    # The longest inner word of the item stands in the document as a word too.
-    inner = F.slice(F.split(norm("first"), " "), 2, F.greatest(F.lit(1), F.size(F.split(norm("first"), " ")) - 2))
-    items = items.select("item_id", norm("first").alias("first"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
-    rows = _lines(spark, d).select("doc_id", norm("line").alias("line"))
-    words = rows.select("doc_id", "line", F.explode(F.array_distinct(F.split("line", " "))).alias("word"))
-    return words.join(items, "word").filter(F.contains("line", "first")).select("item_id", "doc_id").distinct()
+    """Candidates that their document holds word for word: its own lines with other spaces, and lines of the document before."""
+    rows = _lines(spark, d)
+    own = rows.select("doc_id", F.col("line_no").cast("bigint").alias("candidate"), F.concat(F.lit("  "), F.replace("line", F.lit(" "), F.lit("  ")), F.lit("\n")).alias("text"))
+    others = rows.select((F.col("doc_id") + 1).alias("doc_id"), (F.col("line_no") + 1000000).cast("bigint").alias("candidate"), F.col("line").alias("text"))
+    return verbatim(own.unionByName(others), v.table(spark, d, "documents"), "doc_id").select("doc_id", "candidate")
+
+
+def verbatim(candidates: DataFrame, documents: DataFrame, key: str, least: int = 12) -> DataFrame:
+    """Candidates (key, text) of `least` normalised characters or more that the text of their document contains."""
+    short = candidates.withColumn("_text", normalised(F.col("text"))).filter(F.length("_text") >= least)
+    texts = documents.select(key, normalised(F.col("text")).alias("_source"))
+    return short.join(texts, key).filter(F.contains("_source", "_text")).drop("_text", "_source")

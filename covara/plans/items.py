@@ -24,13 +24,6 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT document_id, course_id FROM document WHERE course_id NOT IN (SELECT course_id FROM scope)")
-def module_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of courses without a module; only curated courses have one."""
-    curated = v.courses(spark, d).join(v.scopes(spark, d).select("course_id").distinct(), "course_id", "left_semi")
-    return i.in_module(v.documents(spark, d), curated, "Unassigned").select("document_id", "course_id")
-
-
 @query(f"WITH {_ITEMS} SELECT course_id, count(*) AS total, count(*) FILTER (method IS DISTINCT FROM 'llm') AS regex, count(*) FILTER (method = 'llm') AS llm FROM item JOIN document USING (document_id) GROUP BY ALL")
 def objective_counts(spark: SparkSession, d: str) -> DataFrame:
     return i.method_counts(_items(spark, d).join(v.documents(spark, d), "document_id"), "course_id")

@@ -128,3 +128,78 @@ def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     gone = v.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").withColumnRenamed("c_custkey", "o_custkey")
     return k.cascade_delete({"orders": v.table(spark, d, "orders")}, gone, "o_custkey")["orders"].select("o_orderkey", "o_custkey")
+
+
+@query("WITH ranked AS (SELECT *, first_value(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal > 5000 DESC, c_custkey) AS survivor FROM (SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, CASE WHEN c_acctbal % 2 < 1 THEN c_name END AS c_name, c_acctbal > 9000 AS rich FROM customer)), filled AS (SELECT survivor, arg_min(c_name, c_custkey) FILTER (c_name IS NOT NULL) AS name, bool_or(rich) AS rich FROM ranked GROUP BY ALL) SELECT r.c_custkey AS id, coalesce(r.c_name, name) AS c_name, f.rich FROM ranked r JOIN filled f USING (survivor) WHERE r.c_custkey = r.survivor")
+def collapse_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The customers kept, with names and flags of those that were dropped for them."""
+    rows = v.table(spark, d, "customer").selectExpr("c_custkey id", "c_nationkey", "c_mktsegment", "c_acctbal", "if(c_acctbal % 2 < 1, c_name, null) c_name", "c_acctbal > 9000 rich")
+    edges = v.table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    kept = k.collapse(rows, edges, [F.col("c_nationkey"), F.col("c_mktsegment")], [F.desc(F.col("c_acctbal") > 5000), F.col("id")], ["c_name"], ["rich"], "o_custkey")[0]
+    return kept.select("id", "c_name", "rich")
+
+
+_CHUNKS = "chunk AS (SELECT l_orderkey * 10 + l_linenumber AS chunk_id, l_partkey AS asset_id, CASE WHEN l_quantity > 10 THEN l_quantity END AS embedding FROM lineitem)"
+
+
+@query(f"WITH {_CHUNKS}, told AS (SELECT DISTINCT chunk_id FROM chunk JOIN part ON asset_id = p_partkey WHERE p_type = 'PROMO') SELECT chunk_id, CASE WHEN embedding IS NULL THEN 'no vector' ELSE 'caption' END AS reason FROM chunk WHERE embedding IS NULL OR chunk_id IN (SELECT chunk_id FROM told)")
+def reembed_set(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks to embed again; promotional parts stand for assets with a caption from the sheet."""
+    chunks = v.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber chunk_id", "l_partkey asset_id", "if(l_quantity > 10, l_quantity, null) embedding")
+    assets = v.table(spark, d, "part").selectExpr("p_partkey asset_id", "if(p_type = 'PROMO', 'csv', 'mined') caption_source")
+    return k.reembed_set(chunks.drop("asset_id"), chunks.select("chunk_id", "asset_id"), assets)
+
+
+@query("WITH n AS (SELECT l_orderkey AS document_id, count(*) AS chunks, count(*) FILTER (l_quantity > 5) AS e, count(*) FILTER (l_quantity > 10) AS a FROM lineitem GROUP BY ALL) SELECT document_id, course_id FROM document LEFT JOIN n USING (document_id) WHERE NOT coalesce(chunks > 0 AND e = chunks AND a = chunks, false)")
+def documents_to_process(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that a run takes if it skips complete ones."""
+    chunks = v.table(spark, d, "lineitem").selectExpr("l_orderkey document_id", "l_quantity > 5 embedded", "l_quantity > 10 aligned")
+    documents = v.documents(spark, d)
+    return k.to_process(documents, k.pipeline_status(documents, chunks), "document_id").select("document_id", "course_id")
+
+
+@query("WITH c AS (SELECT doc_id, CASE WHEN text IS NULL THEN 'text' WHEN NOT coalesce(length(text) >= 200, false) THEN 'length' WHEN NOT coalesce(lang IN ('en', 'de'), false) THEN 'language' END AS error, text FROM documents) SELECT doc_id, error, CASE WHEN error IS NULL THEN len(regexp_extract_all(text, '\\S+')) END AS words FROM c")
+def isolated_work(spark: SparkSession, d: str) -> DataFrame:
+    """Words of each document that passes its checks, and the first check that the others fail."""
+    text = F.col("text")
+    found = k.isolated(v.table(spark, d, "documents"), {"words": F.size(F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1))).cast("bigint")}, {"text": text.isNotNull(), "length": F.length(text) >= 200, "language": F.col("lang").isin("en", "de")})
+    return found.select("doc_id", "error", "words")
+
+
+_SEED = "old AS (SELECT lower(p_type) || ':' || p_partkey AS stable_id, p_name AS text, CASE WHEN p_size > 25 THEN p_size END AS embedding FROM part), fresh AS (SELECT lower(p_type) || ':' || (p_partkey + CASE WHEN p_size > 40 THEN 1000000 ELSE 0 END) AS stable_id, p_name || ' again' AS text FROM part)"
+
+
+def _seed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    parts = v.table(spark, d, "part")
+    return parts.selectExpr("concat(lower(p_type), ':', p_partkey) stable_id", "p_name text", "if(p_size > 25, p_size, null) embedding"), parts.selectExpr("concat(lower(p_type), ':', p_partkey + if(p_size > 40, 1000000, 0)) stable_id", "concat(p_name, ' again') text", "cast(null as int) embedding")
+
+
+@query(f"WITH {_SEED} SELECT stable_id, text, embedding FROM old WHERE NOT starts_with(stable_id, 'promo') UNION ALL SELECT stable_id, text, NULL FROM fresh WHERE starts_with(stable_id, 'promo') UNION ALL SELECT 'cache ' || stable_id, NULL, embedding FROM old WHERE embedding IS NOT NULL AND NOT starts_with(stable_id, 'promo')")
+def forced_reseed(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog and the cache of vectors after one kind of part was seeded anew."""
+    old, fresh = _seed(spark, d)
+    cache = old.filter("embedding is not null").selectExpr("stable_id id", "embedding vector")
+    catalog, rest = k.force_reseed(old, fresh, cache, "promo")
+    return catalog.unionByName(rest.select(F.concat(F.lit("cache "), "id").alias("stable_id"), F.lit(None).cast("string").alias("text"), F.col("vector").alias("embedding")))
+
+
+@query(f"WITH {_SEED}, new AS (SELECT * FROM fresh WHERE stable_id NOT IN (SELECT stable_id FROM old WHERE embedding IS NOT NULL)) SELECT stable_id, text, embedding FROM old WHERE stable_id NOT IN (SELECT stable_id FROM new) UNION ALL SELECT stable_id, text, NULL FROM new")
+def upsert_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog with fresh rows put in; rows with a vector stay."""
+    return k.upsert_catalog(*_seed(spark, d))
+
+
+@query("WITH f AS (SELECT l_orderkey AS owner, l_linenumber AS n, l_quantity AS value FROM lineitem), s AS (SELECT owner, n, value + 1 AS value FROM f WHERE n <= 3 AND value > 5 UNION ALL SELECT owner, n + 100, value FROM f WHERE n = 1) SELECT owner, n, value FROM f WHERE value > 5 AND owner IN (SELECT owner FROM f WHERE value > 5) UNION ALL SELECT owner, n, value FROM s WHERE owner NOT IN (SELECT owner FROM f WHERE value > 5)")
+def reconciled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Stored rows of each order after its fresh ones replaced them; orders that were not processed keep theirs."""
+    fresh = v.table(spark, d, "lineitem").selectExpr("l_orderkey owner", "l_linenumber n", "l_quantity value")
+    good = fresh.filter("value > 5")
+    stored = good.filter("n <= 3").withColumn("value", F.col("value") + 1).unionByName(fresh.filter("n = 1").withColumn("n", F.col("n") + 100))
+    return k.reconcile(stored, good, "owner", ["n"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name || p_brand ELSE p_brand END AS stable_id FROM part")
+def short_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that are all short enough; a longer one would be an error that names it."""
+    rows = v.table(spark, d, "part").withColumn("stable_id", F.when(F.col("p_size") > 25, F.concat("p_name", "p_brand")).otherwise(F.col("p_brand")))
+    return k.require_short_ids(rows, "stable_id", 120).select("p_partkey", "stable_id")
