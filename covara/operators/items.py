@@ -136,3 +136,19 @@ def smoke(status: DataFrame, keys: list[str], least: float = 0.9) -> DataFrame:
     all_complete = F.bool_and(F.col("state") == "complete")
     share = F.sum("n_embedded") >= least * F.sum("chunks")
     return status.groupBy(*keys).agg(F.count("*").alias("documents"), all_complete.alias("complete"), (share & (F.sum("chunks") > 0)).alias("embedded"))
+
+
+def smoke_errors(checked: DataFrame, keys: list[str], labels: DataFrame, prefix: str, known: str = "framework_id") -> DataFrame:
+    """checked (smoke) with errors: incomplete documents, too few vectors, and links (keys, id) that none begins with the prefix."""
+    per = labels.groupBy(*keys).agg(F.count_if(F.startswith(F.col(known).cast("string"), F.lit(prefix))).alias("_named"))
+    rows = checked.join(per, keys, "left")
+    errors = F.array_compact(F.array(F.when(~F.col("complete"), "pipeline incomplete"), F.when(~F.col("embedded"), "too few vectors"), F.when(F.coalesce("_named", F.lit(0)) == 0, f"no id begins with {prefix}")))
+    return rows.withColumn("errors", errors).drop("_named")
+
+
+def stamped(rows: DataFrame, stored: DataFrame, keys: list[str], columns: list[str], stamp: str = "updated_at") -> DataFrame:
+    """rows with the time of their last change: now where a column differs from what is stored or nothing is, else the stored time."""
+    old = stored.select(*keys, F.struct(*columns).alias("_old"), F.col(stamp).alias("_stamp"), F.lit(True).alias("_there"))
+    same = F.col("_there") & F.struct(*columns).eqNullSafe(F.col("_old"))
+    found = rows.drop(stamp).join(old, keys, "left").withColumn(stamp, F.when(F.coalesce(same, F.lit(False)), F.col("_stamp")).otherwise(F.current_timestamp()))
+    return found.drop("_old", "_stamp", "_there")

@@ -86,12 +86,34 @@ def band_join(a: DataFrame, b: DataFrame, key: str, place: str, reach: int, best
     return near.join(b.withColumnRenamed(place, "__at"), [key, "__at"]).groupBy(key, place).agg(F.max_by(value, best).alias(value), F.count("*").alias("candidates"))
 
 
-def keyword_hits(nodes: DataFrame, chunks: DataFrame, least_chars: int = 5, stop: list[str] = ()) -> DataFrame:
-    """node, chunk, number of node keywords in the chunk: an equi-join on words."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda x: (F.length(x) >= least_chars) & ~x.isin(list(stop) or [""])))
-    n = nodes.select("node", F.explode(words("label")).alias("word"))
-    c = chunks.select("chunk", F.explode(words("content")).alias("word"))
-    return n.join(c, "word").groupBy("node", "chunk").agg(F.count("*").alias("hits"))
+def largest_per_label(labels: DataFrame, images: DataFrame, key: str, place: str, reach: int = 6, least: int = 2000) -> DataFrame:
+    """For each label (key, place, label) the largest image (key, place, image, size) of at least `least` bytes near any of its mentions.
+
+    Of images of one size the first mentioned, then the nearest to the beginning, counts.
+    """
+    near = labels.withColumn("__at", F.explode(F.sequence(F.col(place) - reach, F.col(place) + reach)))
+    met = near.join(images.filter(F.col("size") >= least).withColumnRenamed(place, "__at"), [key, "__at"])
+    return met.groupBy(key, "label").agg(F.min_by("image", F.struct(-F.col("size"), place, "__at")).alias("image"), F.max("size").alias("size"))
+
+
+def keywords(text: Column, least_chars: int = 5, stop: tuple[str, ...] = (), splitter: str = "[^a-z0-9_]+") -> Column:
+    """Distinct words of a text in order, lower-case, long enough and not on the stop list."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), splitter), lambda x: (F.length(x) >= least_chars) & ~x.isin(*(stop or ("",)))))
+
+
+def word_matches(nodes: DataFrame, chunks: DataFrame, least_chars: int = 5, stop: tuple[str, ...] = ()) -> DataFrame:
+    """node, chunk and word of the node keywords (node, label) in chunks (chunk, content): an equi-join on words.
+
+    Stop words are few and meet no chunk; a word of very many chunks is split by adaptive execution.
+    """
+    n = nodes.select("node", F.explode(keywords(F.col("label"), least_chars, stop)).alias("word"))
+    c = chunks.select("chunk", F.explode(keywords(F.col("content"), least_chars, stop)).alias("word"))
+    return n.join(c, "word").select("node", "chunk", "word")
+
+
+def keyword_hits(nodes: DataFrame, chunks: DataFrame, least_chars: int = 5, stop: tuple[str, ...] = ()) -> DataFrame:
+    """node, chunk, number of node keywords in the chunk."""
+    return word_matches(nodes, chunks, least_chars, stop).groupBy("node", "chunk").agg(F.count("*").alias("hits"))
 
 
 def gap_triage(hits: DataFrame) -> DataFrame:
@@ -99,6 +121,23 @@ def gap_triage(hits: DataFrame) -> DataFrame:
     return hits.groupBy("node").agg(F.count("*").alias("chunks"), F.min_by("chunk", F.struct(-F.col("hits"), "chunk")).alias("best_chunk"), F.max("hits").alias("hits"))
 
 
+def gap_candidates(nodes: DataFrame, linked: DataFrame, chunks: DataFrame, least_chars: int = 5, stop: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes (node, label) without a link (node) whose keywords chunks hold: node, words, chunk and excerpt, for a reviewer.
+
+    words are all that some chunk holds; the chunk is the first with most of them, the excerpt shows the
+    first of the node's keywords in it.
+    """
+    gaps = nodes.join(linked.select("node").distinct(), "node", "left_anti")
+    found = word_matches(gaps, chunks, least_chars, stop)
+    per = found.groupBy("node", "chunk").agg(F.count("*").alias("hits"), F.collect_set("word").alias("words"))
+    best = per.groupBy("node").agg(F.min_by(F.struct("chunk", "words"), F.struct(-F.col("hits"), "chunk")).alias("best"))
+    words = found.select("node", "word").distinct().groupBy("node").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    rows = best.join(words, "node").join(gaps.select("node", keywords(F.col("label"), least_chars, stop).alias("order")), "node").withColumn("chunk", F.col("best.chunk"))
+    rows = rows.join(chunks.select("chunk", "content"), "chunk")
+    first = F.get(F.filter("order", lambda x: F.array_contains("best.words", x)), F.lit(0))
+    return rows.select("node", "words", "chunk", excerpt(F.col("content"), first).alias("excerpt"))
+
+
 def excerpt(text: Column, word: Column, radius: int = 60) -> Column:
     """The surroundings of the first occurrence of a whole word, in any case, with ellipses where text is left out."""
     quoted = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), word, F.lit(r"\E(?![A-Za-z0-9_])"))

@@ -163,3 +163,35 @@ def learning_spiral(facts: DataFrame, k: int = 8) -> DataFrame:
     top = program_rows(facts).orderBy(F.desc("docs"), F.desc("chunks"), "framework_id").limit(k)
     cases = facts.join(F.broadcast(top.select("framework_id", "docs", "chunks")), "framework_id")  # k rows
     return cases.groupBy("framework_id", "docs", "chunks").agg(F.array_join(F.array_sort(F.collect_set("case_number")), ",").alias("cases"))
+
+
+def ranked_in_ranges(rows: DataFrame, keys: list[str], ranges: list[str], order: list[str]) -> DataFrame:
+    """rows with rank: their place in their group in the order of (ranges, order), which must end in a unique column.
+
+    Only the rows of one range meet in a task; the ranges of a group get their offsets from their counts.
+    """
+    first = Window.partitionBy(*keys).orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*keys, *ranges).agg(F.count("*").alias("_n")).select(*keys, *ranges, F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_offset"))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, *ranges).orderBy(*order)))
+    return placed.join(offsets, [*keys, *ranges]).withColumn("rank", (F.col("_offset") + F.col("_place")).cast("int")).drop("_offset", "_place")
+
+
+def in_scope(rows: DataFrame, scopes: DataFrame, scoped: bool) -> DataFrame:
+    """rows (course_id, system) of the systems that their course targets, if scoped; a course without targets keeps all."""
+    if not scoped:
+        return rows
+    curated = scopes.select("course_id").distinct()
+    return rows.join(scopes, ["course_id", "system"], "left_semi").unionByName(rows.join(curated, "course_id", "left_anti").select(*rows.columns))
+
+
+def competency_coverage(competencies: DataFrame, links: DataFrame, documents: DataFrame, frameworks: list[str]) -> DataFrame:
+    """Total and covered competencies (stable_id, domain) of each domain for each course (of documents), with a whole percent.
+
+    A competency is covered by a link of one of the frameworks that counts and whose chunk is in the course.
+    """
+    wanted = links.filter(F.col("framework").isin(*frameworks)).join(documents.select("document_id", "course_id"), "document_id")
+    hit = wanted.select("course_id", F.col("framework_id").alias("stable_id")).distinct().join(competencies, "stable_id").groupBy("course_id", "domain").agg(F.count("*").alias("covered"))
+    totals = competencies.groupBy("domain").agg(F.count_distinct("stable_id").alias("total")).withColumn("_all", F.lit(1))
+    grid = totals.join(documents.select("course_id").distinct().withColumn("_all", F.lit(1)), "_all").drop("_all")
+    rows = with_gaps(grid, hit, ["course_id", "domain"])
+    return rows.withColumn("percent", percent(F.col("covered"), F.col("total")))

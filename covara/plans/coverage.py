@@ -196,3 +196,19 @@ def course_exports(spark: SparkSession, d: str) -> DataFrame:
 def lens_heatmap(spark: SparkSession, d: str) -> DataFrame:
     """The heatmaps of all courses under each lens."""
     return r.heatmap(lenses(v.facts(spark, d)), v.topics(spark, d).groupBy("system").agg(F.count("*").alias("total")), "lens", "course_id")
+
+
+@query("WITH x AS (SELECT false AS scoped, course_id, case_number, system, framework_id FROM fact UNION ALL SELECT true, course_id, case_number, system, framework_id FROM fact WHERE course_id NOT IN (SELECT course_id FROM scope) OR (course_id, system) IN (SELECT (course_id, system) FROM scope)) SELECT scoped, course_id, system, count(DISTINCT framework_id) AS topics FROM x GROUP BY ALL")
+def scoped_systems(spark: SparkSession, d: str) -> DataFrame:
+    """Linked topics of each course and system, of all systems and of those that the course targets."""
+    facts = v.facts(spark, d).select("course_id", "system", "framework_id")
+    both = [r.in_scope(facts, v.scopes(spark, d), x).withColumn("scoped", F.lit(x)) for x in (False, True)]
+    return both[0].unionByName(both[1]).distinct().groupBy("scoped", "course_id", "system").agg(F.count("*").alias("topics"))
+
+
+@query(f"WITH c AS (SELECT p_partkey AS stable_id, p_brand AS domain FROM part WHERE {_KIND} = 'AAMC'), l AS (SELECT live.*, CASE WHEN chunk_index <= 4 THEN 'AAMC_PCRS' ELSE 'OTHER' END AS framework FROM live), k AS (SELECT DISTINCT course_id FROM document), x AS (SELECT course_id, domain, count(DISTINCT c.stable_id) AS total, count(DISTINCT c.stable_id) FILTER (EXISTS (SELECT 1 FROM l JOIN document USING (document_id) WHERE l.framework_id = c.stable_id AND l.framework IN ('AAMC_PCRS', 'AAMC_EPA') AND document.course_id = k.course_id)) AS covered FROM c, k GROUP BY ALL) SELECT *, cast(floor(covered * 100.0 / total + 0.5) AS bigint) AS percent FROM x")
+def competency_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Competencies of each domain that links of their frameworks cover in each course; links of late chunks have another framework."""
+    competencies = _parts(spark, d).filter("framework = 'AAMC'").selectExpr("p_partkey stable_id", "p_brand domain")
+    links = v.live_links(spark, d).withColumn("framework", F.when(F.col("chunk_index") <= 4, "AAMC_PCRS").otherwise("OTHER"))
+    return r.competency_coverage(competencies, links, v.documents(spark, d), ["AAMC_PCRS", "AAMC_EPA"])

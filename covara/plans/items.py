@@ -121,3 +121,23 @@ def smoke_cases(spark: SparkSession, d: str) -> DataFrame:
     chunks = v.table(spark, d, "lineitem").selectExpr("l_orderkey document_id", "l_quantity > 5 embedded", "l_quantity > 10 aligned")
     documents = v.documents(spark, d)
     return i.smoke(k.pipeline_status(documents, chunks).join(documents, "document_id"), ["course_id", "case_number"])
+
+
+@query("WITH n AS (SELECT l_orderkey AS document_id, count(*) AS chunks, count(*) FILTER (l_quantity > 5) AS e, count(*) FILTER (l_quantity > 10) AS a FROM lineitem GROUP BY ALL), s AS (SELECT course_id, case_number, bool_and(coalesce(chunks > 0 AND e = chunks AND a = chunks, false)) AS complete, coalesce(sum(e) >= 0.9 * sum(chunks) AND sum(chunks) > 0, false) AS embedded FROM document LEFT JOIN n USING (document_id) GROUP BY ALL), p AS (SELECT course_id, case_number, count(*) FILTER (starts_with(cast(framework_id AS varchar), '19')) AS named FROM live JOIN document USING (document_id) GROUP BY ALL) SELECT course_id, case_number, concat_ws(', ', CASE WHEN NOT complete THEN 'pipeline incomplete' END, CASE WHEN NOT embedded THEN 'too few vectors' END, CASE WHEN coalesce(named, 0) = 0 THEN 'no id begins with 19' END) AS errors FROM s LEFT JOIN p USING (course_id, case_number)")
+def smoke_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What a smoke test of each case reports."""
+    chunks = v.table(spark, d, "lineitem").selectExpr("l_orderkey document_id", "l_quantity > 5 embedded", "l_quantity > 10 aligned")
+    documents, keys = v.documents(spark, d), ["course_id", "case_number"]
+    checked = i.smoke(k.pipeline_status(documents, chunks).join(documents, "document_id"), keys)
+    links = v.live_links(spark, d).join(documents, "document_id")
+    return i.smoke_errors(checked, keys, links, "19").select(*keys, F.array_join("errors", ", ").alias("errors"))
+
+
+@query("SELECT s_suppkey, s_name, CASE WHEN s_acctbal > 5000 THEN 'changed' WHEN s_nationkey > 20 THEN 'new' ELSE 'kept' END AS state FROM supplier")
+def change_stamps(spark: SparkSession, d: str) -> DataFrame:
+    """Which rows get the time of the run: changed and new ones; the others keep the time that is stored."""
+    rows = v.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    stored = rows.filter("s_nationkey <= 20 or s_acctbal > 5000").select("s_suppkey", F.when(F.col("s_acctbal") > 5000, "other").otherwise(F.col("s_name")).alias("s_name"), F.to_timestamp(F.lit("2001-01-01")).alias("updated_at"))
+    found = i.stamped(rows, stored, ["s_suppkey"], ["s_name"])
+    fresh = F.col("updated_at") > F.to_timestamp(F.lit("2002-01-01"))
+    return found.select("s_suppkey", "s_name", F.when(fresh & (F.col("s_acctbal") > 5000), "changed").when(fresh, "new").otherwise("kept").alias("state"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covara.operators import objectives as o
+from covara.operators.items import needs_review
 from covara.plans.chunks import _WS
 from covara.plans.registered import query
 from covara.plans.texts import _LINES
@@ -92,3 +93,11 @@ def objective_gate(spark: SparkSession, d: str) -> DataFrame:
     """Documents of all sources but one without objectives; those labelled as poor are allowed."""
     docs = _docs(spark, d).withColumn("kind", F.when(F.col("source").eqNullSafe("src0"), "faculty").otherwise("self_study"))
     return o.objective_gate(docs, "kind", v.table(spark, d, "labels").filter("quality = 0"), RULES)
+
+
+@query(f"WITH {_WALK}, b AS (SELECT ln.doc_id, regexp_matches(ln.t, '{RULES.topics_header}') AS header, ({_any('ln.t', RULES.intro)} OR {_noise('ln.t')}) AS skip, {_topic(_clean('ln.t'))} AS topic FROM ln JOIN rg USING (doc_id, sec) WHERE NOT ln.head), k AS (SELECT doc_id, bool_or(header AND NOT skip) AND count(*) FILTER (NOT skip AND NOT header) > 0 AND count(*) FILTER (NOT skip AND NOT header AND NOT topic) = 0 AS topics_only FROM b GROUP BY ALL), n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (confidence = 'low') AS low, bool_or(length(text) > 150 AND confidence <> 'high' AND code IS NULL) AS long FROM objective GROUP BY ALL) SELECT documents.doc_id, documents.doc_id IN (SELECT doc_id FROM rg) AND CASE WHEN n IS NULL THEN NOT coalesce(topics_only, false) ELSE (low > 0 AND low >= 0.5 * n) OR long END AS needs_review FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)")
+def objectives_to_review(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose objectives a reviewer should see: none found though ranges hold more than topics, many poor ones, or a run-on of over 150 characters."""
+    docs = _docs(spark, d)
+    found = o.extracted(docs, RULES).withColumn("coded", F.col("code").isNotNull())
+    return needs_review(o.range_kinds(docs, RULES), found, "doc_id", run_on=150)

@@ -55,7 +55,7 @@ def objectives_nested(spark: SparkSession, d: str) -> DataFrame:
 def objective_rows(spark: SparkSession, d: str) -> DataFrame:
     """Items of all courses with their place in the export of their course."""
     rows = _items(spark, d).join(v.documents(spark, d), "document_id").join(v.courses(spark, d), "course_id")
-    ranked = r.top_per_group(rows, ["code"], ["case_number", "document_id", "ordinal", "text", "method", "confidence"], 2**31 - 1)
+    ranked = r.ranked_in_ranges(rows.withColumn("part", F.floor(F.col("document_id") / 4096)), ["code"], ["case_number", "part"], ["document_id", "ordinal", "text", "method", "confidence"])
     return ranked.select("code", "case_number", "document_id", "ordinal", "text", "method", "confidence", "rank")
 
 
@@ -89,3 +89,21 @@ def ingestion_summary(spark: SparkSession, d: str) -> DataFrame:
 def path_backfill(spark: SparkSession, d: str) -> DataFrame:
     path = "case p_size % 4 when 0 then concat('/srv/media/', p_partkey, '/', p_type, '/', p_size, '.png') when 1 then concat(p_partkey, '/', p_type, '/', p_size, '.png') when 2 then p_name end path"
     return s.backfilled(v.table(spark, d, "part").selectExpr("p_partkey asset_id", path), "path")
+
+
+@query("SELECT outcome, count(*) AS n FROM (SELECT CASE p_size % 4 WHEN 0 THEN 'rewritten' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'unrecognised' ELSE 'missing' END AS outcome FROM part) GROUP BY ALL")
+def path_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """How many paths a backfill rewrote, left or did not know."""
+    path = "case p_size % 4 when 0 then concat('/srv/media/', p_partkey, '/', p_type, '/', p_size, '.png') when 1 then concat(p_partkey, '/', p_type, '/', p_size, '.png') when 2 then p_name end path"
+    return s.backfilled(v.table(spark, d, "part").selectExpr("p_partkey asset_id", path), "path").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("WITH l AS (SELECT DISTINCT document_id, chunk_index, framework_id FROM live) SELECT 'chunk' AS side, framework_id AS id, NULL AS chunk_index FROM l WHERE chunk_index = 2 GROUP BY ALL UNION ALL SELECT 'topic', document_id, chunk_index FROM l JOIN topic ON framework_id = stable_id WHERE system = 'Brand#7' GROUP BY ALL UNION ALL SELECT 'overview', framework_id, NULL FROM l GROUP BY ALL")
+def linked_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Topics of second chunks, chunks of one system's topics, and all linked topics."""
+    links = v.live_links(spark, d).join(v.topics(spark, d).selectExpr("stable_id framework_id", "system"), "framework_id")
+    chunks = links.select(F.struct("document_id", "chunk_index").alias("chunk"), "framework_id", "system")
+    sides = (("chunk", s.linked_side(chunks, "framework_id", F.col("chunk.chunk_index") == 2)), ("topic", s.linked_side(chunks, "chunk", F.col("system") == "Brand#7")), ("overview", s.linked_side(chunks, "framework_id")))
+    shape = lambda name, rows: rows.select(F.lit(name).alias("side"), *((F.col("chunk.document_id").alias("id"), F.col("chunk.chunk_index").alias("chunk_index")) if name == "topic" else (F.col("framework_id").alias("id"), F.lit(None).cast("int").alias("chunk_index"))))
+    found = [shape(*x) for x in sides]
+    return found[0].unionByName(found[1]).unionByName(found[2])

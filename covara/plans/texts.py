@@ -76,12 +76,17 @@ def band_join(spark: SparkSession, d: str) -> DataFrame:
     return t.band_join(rows.filter("size between 1 and 30").select("doc_id", "line_no"), b, "doc_id", "line_no", 6, F.struct("size", -F.col("near")), "near")
 
 
-_HITS = "node AS (SELECT item_id AS node, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: length(w) >= 5))) AS word FROM benchmark), turn AS (SELECT conv_id * 1000 + turn AS chunk, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: length(w) >= 5))) AS word FROM conversations), hits AS (SELECT node, chunk, count(*) AS hits FROM node JOIN turn USING (word) GROUP BY ALL)"
+STOP = ("thing", "thtion", "thble")
+_WORDS_OF = lambda x: f"list_distinct(list_filter(string_split_regex(lower({x}), '[^a-z0-9_]+'), lambda w: length(w) >= 5 AND w NOT IN {STOP}))"
+_HITS = f"node AS (SELECT item_id AS node, unnest({_WORDS_OF('text')}) AS word FROM benchmark), turn AS (SELECT conv_id * 1000 + turn AS chunk, unnest({_WORDS_OF('text')}) AS word FROM conversations), hits AS (SELECT node, chunk, count(*) AS hits FROM node JOIN turn USING (word) GROUP BY ALL)"
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return v.table(spark, d, "conversations").selectExpr("conv_id * 1000 + turn chunk", "text content")
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    nodes = v.table(spark, d, "benchmark").selectExpr("item_id node", "text label")
-    return t.keyword_hits(nodes, v.table(spark, d, "conversations").selectExpr("conv_id * 1000 + turn chunk", "text content"))
+    return t.keyword_hits(v.table(spark, d, "benchmark").selectExpr("item_id node", "text label"), _turns(spark, d), stop=STOP)
 
 
 @query(f"WITH {_HITS} SELECT * FROM hits")
@@ -100,3 +105,23 @@ def ordered_context(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("] "), "role", F.lit(": "), F.substring("text", 1, 120))
     pieces = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
     return v.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(pieces, lambda x: x["line"]), "\n").alias("context"))
+
+
+_FIRST = "list_filter(k, lambda w: list_contains(b.words, w))[1]"
+
+
+@query(f"WITH gap AS (SELECT item_id AS node, {_WORDS_OF('text')} AS k FROM benchmark WHERE item_id NOT IN (SELECT framework_id FROM live WHERE chunk_index = 1 AND framework_id IS NOT NULL)), word AS (SELECT node, unnest(k) AS word FROM gap), turn AS (SELECT conv_id * 1000 + turn AS chunk, unnest({_WORDS_OF('text')}) AS word FROM conversations), m AS (SELECT node, chunk, word FROM word JOIN turn USING (word)), per AS (SELECT node, chunk, count(*) AS hits, list(word) AS words FROM m GROUP BY ALL), b AS (SELECT node, arg_min(chunk, (-hits, chunk)) AS chunk, arg_min(words, (-hits, chunk)) AS words FROM per GROUP BY ALL), u AS (SELECT node, array_to_string(list_sort(list(DISTINCT word)), ',') AS words FROM m GROUP BY ALL), e AS (SELECT b.node, u.words, b.chunk, text, {_FIRST} AS word, length(regexp_extract(lower(text), '(?s)^(.*?)\\b' || {_FIRST} || '\\b', 1)) + 1 AS spot FROM b JOIN u USING (node) JOIN gap USING (node) JOIN conversations ON conv_id * 1000 + turn = b.chunk) SELECT node, words, chunk, md5(CASE WHEN spot > 61 THEN '…' ELSE '' END || substr(text, greatest(1, spot - 60), spot + length(word) + 60 - greatest(1, spot - 60)) || CASE WHEN spot + length(word) + 60 <= length(text) THEN '…' ELSE '' END) AS excerpt_md5 FROM e")
+def gap_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Unlinked items whose keywords turns hold, with the best turn and an excerpt of it; links of first chunks count here."""
+    nodes = v.table(spark, d, "benchmark").selectExpr("item_id node", "text label")
+    linked = v.live_links(spark, d).filter("chunk_index = 1").select(F.col("framework_id").alias("node"))
+    return t.gap_candidates(nodes, linked, _turns(spark, d), stop=STOP).select("node", F.array_join("words", ",").alias("words"), "chunk", F.md5("excerpt").alias("excerpt_md5"))
+
+
+@query(f"WITH {_LINES}, a AS (SELECT doc_id, line_no, lower(line) AS label FROM line WHERE length(line) BETWEEN 1 AND 30), b AS (SELECT doc_id, line_no, length(line) AS size FROM line WHERE length(line) >= 200), m AS (SELECT a.doc_id, label, a.line_no AS spot, b.line_no AS image, size FROM a JOIN b ON a.doc_id = b.doc_id AND b.line_no BETWEEN a.line_no - 6 AND a.line_no + 6) SELECT doc_id, label, cast(arg_min(image, (-size, spot, image)) AS integer) AS image, max(size) AS size FROM m GROUP BY ALL")
+def label_images(spark: SparkSession, d: str) -> DataFrame:
+    """The longest line near any mention of each short line; long lines stand for images."""
+    rows = _lines(spark, d)
+    labels = rows.filter(F.length("line").between(1, 30)).select("doc_id", "line_no", F.lower("line").alias("label"))
+    images = rows.select("doc_id", "line_no", F.col("line_no").alias("image"), F.length("line").cast("bigint").alias("size"))
+    return t.largest_per_label(labels, images, "doc_id", "line_no", least=200)

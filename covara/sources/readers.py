@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from covara.operators.keyed import upsert
 
 
 def captions(spark: SparkSession, path: str, required: tuple[str, ...] = ("filename", "label", "text_for_embed"), index: str = "storage_index") -> DataFrame:
@@ -18,6 +21,18 @@ def captions(spark: SparkSession, path: str, required: tuple[str, ...] = ("filen
     return rows.select(*cells, number.alias("source_index"), (complete[0] & complete[1] & complete[2]).alias("complete"))
 
 
+def import_captions(spark: SparkSession, path: str, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored captions (filename, label, source_index, text_for_embed) with the complete rows of a sheet put in, one row of counts: upserted and skipped).
+
+    The key is the file, the label and the index, null among them; of rows with one key the last in the sheet counts.
+    """
+    rows = captions(spark, path).withColumn("_n", F.monotonically_increasing_id())
+    keys = ["filename", "label", "source_index"]
+    fresh = rows.filter("complete").select(*keys, "text_for_embed", "_n")
+    counts = rows.agg(F.count_if("complete").alias("upserted"), F.count_if(~F.col("complete")).alias("skipped"))
+    return upsert(stored.withColumn("_n", F.lit(-1).cast("bigint")), fresh, keys, ["_n"]).drop("_n"), counts
+
+
 def taxonomy(spark: SparkSession, path: str, prefix: str = "aamc") -> DataFrame:
     """Leaf rows of nested JSON files {domains: [{code, name, competencies: [text]}]} with made ids."""
     domains = spark.read.schema("domains array<struct<code: string, name: string, competencies: array<string>>>").json(path, multiLine=True).select(F.explode("domains").alias("d"))
@@ -51,18 +66,38 @@ def purge_cache(lines: DataFrame, prefix: str) -> DataFrame:
 
 
 def snapshot(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
-    """Writes the tables to a new folder, reads them again, and fails if a count differs."""
+    """Writes the tables to a new folder, reads them again, and fails if a count differs from that of the rows written."""
     counts = {}
     for name, df in tables.items():
-        df.write.mode("error").parquet(f"{path}/{name}")
+        written = Observation(f"rows of {name}")
+        df.observe(written, F.count(F.lit(1)).alias("n")).write.mode("error").parquet(f"{path}/{name}")
         counts[name] = df.sparkSession.read.parquet(f"{path}/{name}").count()
-        if counts[name] != df.count():
+        if counts[name] != written.get["n"]:
             raise RuntimeError(f"{name}: the copy has {counts[name]} rows")
     return counts
 
 
-def restore(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+def restore(spark: SparkSession, path: str, schemas: dict[str, str], to: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a snapshot with the columns and types that schemas (DDL) name: texts become vectors and decimals. Written to a new folder if one is named.
+
+    A vector or number that cannot be read as such is an error, so that no restored table has less than its snapshot.
+    """
+    out = {}
+    for name, ddl in schemas.items():
+        raw = spark.read.parquet(f"{path}/{name}")
+        have = {f.name: f.dataType for f in raw.schema.fields}
+        cells = []
+        for f in T.StructType.fromDDL(ddl).fields:
+            c = F.col(f.name)
+            text = isinstance(have[f.name], T.StringType)
+            value = F.from_json(c, f.dataType) if text and isinstance(f.dataType, T.ArrayType) else c.try_cast(f.dataType)
+            bad = F.raise_error(F.concat(F.lit(f"{name}.{f.name}: "), c.cast("string"))).cast(f.dataType)
+            cells.append(F.when(c.isNotNull() & value.isNull(), bad).otherwise(value).alias(f.name))
+        out[name] = raw.select(*cells)
+        if to:
+            out[name].write.mode("error").parquet(f"{to}/{name}")
+            out[name] = spark.read.parquet(f"{to}/{name}")
+    return out
 
 
 def latest_first(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -94,7 +94,7 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.embedding_cache(cache, "m", 2).collect()] == [("a", [1.0, 2.0])]
     assert readers.purge_cache(cache, "a").count() == 1
     df = spark.range(5)
-    assert readers.snapshot({"r": df}, str(tmp_path / "v1")) == {"r": 5} and readers.restore(spark, str(tmp_path / "v1"), ["r"])["r"].count() == 5
+    assert readers.snapshot({"r": df}, str(tmp_path / "v1")) == {"r": 5} and readers.restore(spark, str(tmp_path / "v1"), {"r": "id bigint"})["r"].count() == 5
     rows = exports.csv_rows(spark.createDataFrame([(2, "=x"), (1, "a,b")], "n int, t string"), "Note", ["n", "t"], ["n"])
     assert [r.line for r in rows.orderBy("line_no").collect()] == ['"# Note"', "n,t", '"1","a,b"', '"2","\'=x"']
 
