@@ -5,7 +5,8 @@ fingerprint are one node from the start. Nodes that agree on `agree` of the bloc
 share a group (with most_bits + agree blocks, every link falls in some group). Inside a group a table of
 Hamming distances to fixed reference fingerprints (pivots) orders the nodes by their distance to the first
 pivot, discards pairs by the largest coordinate difference (the triangle inequality: it can't exceed the
-distance), and the survivors are verified. A group passes on only a spanning set of its links.
+distance), and the survivors are verified. A large group is split by further blocks of the bits that differ in it, so that
+its work grows with its size and not with its pairs. A group passes on only a spanning set of its links.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .tables import materialise
 
 WORDS, MOST_BITS, AGREE, PIVOTS, HASH_SEED = 4, 4, 3, 24, 42
 _PIVOTS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.random.Generator(np.random.PCG64(12)).integers(0, 2, PIVOTS, dtype=np.uint64)
-#: From this many nodes on, a group is worked off by leaders instead of pair by pair.
+#: From this many nodes on, a group is split by further blocks, and what is still so large is worked off by leaders.
 LARGE_GROUP = 96
+#: Further blocks of a large group; two nodes within reach agree on all but most_bits of them.
+FURTHER_BLOCKS = 8
 
 
 def fingerprint(words: list[bytes], size: int) -> int:
@@ -109,7 +112,7 @@ def group_links(fp: np.ndarray, group: np.ndarray, most_bits: int) -> tuple[np.n
             linked_a.append(a)
             linked_b.append(b)
     for start, size in zip(first[sizes >= LARGE_GROUP].tolist(), sizes[sizes >= LARGE_GROUP].tolist()):
-        a, b = leader_links(fp[start : start + size], table[:, start : start + size], most_bits)
+        a, b = split_links(fp[start : start + size], table[:, start : start + size], most_bits)
         linked_a.append(a + start)
         linked_b.append(b + start)
     if not linked_a:
@@ -119,6 +122,46 @@ def group_links(fp: np.ndarray, group: np.ndarray, most_bits: int) -> tuple[np.n
     return order[own], order[label[own]]
 
 
+def split_links(fp: np.ndarray, table: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is connected in one large group, by the blocks of the bits that differ in it.
+
+    Two nodes within reach differ in at most most_bits blocks, so they agree on the rest and meet in some choice of these. Nodes
+    that are connected already are not compared again.
+    """
+    n, varying = len(fp), [i for i in range(64) if int(np.bitwise_or.reduce(fp ^ fp[0])) >> i & 1]
+    parts = FURTHER_BLOCKS
+    if len(varying) <= parts or parts <= most_bits:
+        return leader_links(fp, table, most_bits)
+    cuts = [len(varying) * i // parts for i in range(parts + 1)]
+    blocks = [sum(1 << k for k in varying[a:b]) for a, b in zip(cuts, cuts[1:])]
+    label = np.arange(n)
+    for mask in (sum(x) for x in combinations(blocks, parts - most_bits)):
+        key = fp & np.uint64(mask)
+        order = np.lexsort((table[0], key))
+        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        size = np.diff(np.append(first, n))
+        run = np.repeat(np.arange(len(first)), size)
+        small = np.repeat(size < LARGE_GROUP, size)
+        pairs = []
+        for d in range(1, int(min(LARGE_GROUP, size.max()))):
+            i = np.flatnonzero((run[:-d] == run[d:]) & small[:-d])
+            a, b = order[i], order[i + d]
+            other = label[a] != label[b]
+            if other.any():
+                pairs.append(survivors(fp, table, a[other], b[other], most_bits))
+        for start, count in zip(first[size >= LARGE_GROUP].tolist(), size[size >= LARGE_GROUP].tolist()):
+            own = order[start : start + count]
+            if (label[own] != label[own[0]]).any():
+                a, b = leader_links(fp[own], table[:, own], most_bits)
+                pairs.append((own[a], own[b]))
+        if pairs:
+            known = np.flatnonzero(label != np.arange(n))
+            a, b = (np.concatenate([x, *y]) for x, y in zip((known, label[known]), zip(*pairs)))
+            label = local_components(n, a, b)
+    own = np.flatnonzero(label != np.arange(n))
+    return own, label[own]
+
+
 def leader_links(fp: np.ndarray, table: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected in one large group.
 
@@ -169,27 +212,33 @@ def near_links(nodes: DataFrame, most_bits: int = MOST_BITS, agree: int = AGREE)
     dealt = nodes.select("node", "fp", keys.alias("k")).select("node", "fp", "k.place", "k.part").repartition("place", "part").sortWithinPartitions("place", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, fp, place, part = (np.zeros(0, t) for t in (np.int64, np.uint64, np.int8, np.int64))
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def links(cut: int) -> pa.RecordBatch:
-            group = np.cumsum(np.concatenate([[0], (place[1:cut] != place[: cut - 1]) | (part[1:cut] != part[: cut - 1])])) if cut else np.zeros(0, np.int64)
-            size = np.bincount(group) if cut else group
-            some = np.flatnonzero(size[group] > 1) if cut else group
+        def links() -> pa.RecordBatch:
+            node, fp, place, part = (np.concatenate(x) for x in zip(*held))
+            group = np.cumsum(np.concatenate([[0], (place[1:] != place[:-1]) | (part[1:] != part[:-1])]))
+            some = np.flatnonzero(np.bincount(group)[group] > 1)
             a, b = group_links(fp[some], group[some], most_bits) if len(some) else (some, some)
             ids = node[some]
             pairs = np.unique(np.stack([ids[a], ids[b]]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["src", "dst"])
 
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            node, fp, place, part = (np.concatenate(x) for x in zip((node, fp, place, part), (new[0], new[1].view(np.uint64), new[2], new[3])))
-            last = np.flatnonzero((place != place[-1]) | (part != part[-1])) if len(node) else []
+            if not batch.num_rows:
+                continue
+            node, fp, place, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            rows = node, fp.view(np.uint64), place, part
+            last = np.flatnonzero((place != place[-1]) | (part != part[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
-            if cut:
-                yield links(cut)
-                node, fp, place, part = node[cut:], fp[cut:], place[cut:], part[cut:]
-        if len(node):
-            yield links(len(node))
+            goes_on = held and not cut and (held[-1][2][-1], held[-1][3][-1]) == (place[0], part[0])
+            if cut or not goes_on:
+                held.append(tuple(x[:cut] for x in rows))
+                if sum(len(x[0]) for x in held):
+                    yield links()
+                held = []
+            held.append(tuple(x[cut:] for x in rows))
+        if held:
+            yield links()
 
     return dealt.mapInArrow(run, "src bigint, dst bigint").distinct()
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -90,3 +91,29 @@ def test_components_of_chains(spark):
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
     assert found == {**{i: 0 for i in range(201)}, 400: 400, 500: 400, 600: 600, 650: 600, 700: 600}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_a_large_group_is_split_without_a_miss():
+    """Many different fingerprints that agree on 27 bits, some of them near each other."""
+    r = random.Random(4)
+    fixed, fps = r.getrandbits(27) << 37, set()
+    while len(fps) < 1500:
+        x = r.getrandbits(37)
+        fps.add(fixed | x)
+        if r.random() < 0.3:
+            for _ in range(r.randint(1, 5)):
+                x ^= 1 << r.randrange(37)
+            fps.add(fixed | x)
+    fp = np.array(sorted(fps), np.uint64)
+    a, b = s.split_links(fp, s.pivot_table(fp), 4)
+    near = [(i, j) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp[i] ^ fp) <= 4).tolist() if j > i]
+    want = s.local_components(len(fp), *(np.array(x) for x in zip(*near)))
+    assert (s.local_components(len(fp), a, b) == want).all() and len(set(want.tolist())) < len(fp)
+
+
+def test_large_groups_take_time_in_proportion():
+    r = np.random.default_rng(1)
+    fp = np.unique(r.integers(0, 2**37, 40_000, dtype=np.uint64)) | np.uint64(5 << 40)
+    began = time.time()
+    s.split_links(fp, s.pivot_table(fp), 4)
+    assert time.time() - began < 60
