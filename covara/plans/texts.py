@@ -107,10 +107,10 @@ def ordered_context(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(pieces, lambda x: x["line"]), "\n").alias("context"))
 
 
-_FIRST = "list_filter(k, lambda w: list_contains(b.words, w))[1]"
+_FIRST = "list_filter(string_split_regex(lower(label), '[^a-z0-9_]+'), lambda w: list_contains(b.words, w))[1]"  # list_distinct keeps no order
 
 
-@query(f"WITH gap AS (SELECT item_id AS node, {_WORDS_OF('text')} AS k FROM benchmark WHERE item_id NOT IN (SELECT framework_id FROM live WHERE chunk_index = 1 AND framework_id IS NOT NULL)), word AS (SELECT node, unnest(k) AS word FROM gap), turn AS (SELECT conv_id * 1000 + turn AS chunk, unnest({_WORDS_OF('text')}) AS word FROM conversations), m AS (SELECT node, chunk, word FROM word JOIN turn USING (word)), per AS (SELECT node, chunk, count(*) AS hits, list(word) AS words FROM m GROUP BY ALL), b AS (SELECT node, arg_min(chunk, (-hits, chunk)) AS chunk, arg_min(words, (-hits, chunk)) AS words FROM per GROUP BY ALL), u AS (SELECT node, array_to_string(list_sort(list(DISTINCT word)), ',') AS words FROM m GROUP BY ALL), e AS (SELECT b.node, u.words, b.chunk, text, {_FIRST} AS word, length(regexp_extract(lower(text), '(?s)^(.*?)\\b' || {_FIRST} || '\\b', 1)) + 1 AS spot FROM b JOIN u USING (node) JOIN gap USING (node) JOIN conversations ON conv_id * 1000 + turn = b.chunk) SELECT node, words, chunk, md5(CASE WHEN spot > 61 THEN '…' ELSE '' END || substr(text, greatest(1, spot - 60), spot + length(word) + 60 - greatest(1, spot - 60)) || CASE WHEN spot + length(word) + 60 <= length(text) THEN '…' ELSE '' END) AS excerpt_md5 FROM e")
+@query(f"WITH gap AS (SELECT item_id AS node, text AS label, {_WORDS_OF('text')} AS k FROM benchmark WHERE item_id NOT IN (SELECT framework_id FROM live WHERE chunk_index = 1 AND framework_id IS NOT NULL)), word AS (SELECT node, unnest(k) AS word FROM gap), turn AS (SELECT conv_id * 1000 + turn AS chunk, unnest({_WORDS_OF('text')}) AS word FROM conversations), m AS (SELECT node, chunk, word FROM word JOIN turn USING (word)), per AS (SELECT node, chunk, count(*) AS hits, list(word) AS words FROM m GROUP BY ALL), b AS (SELECT node, arg_min(chunk, (-hits, chunk)) AS chunk, arg_min(words, (-hits, chunk)) AS words FROM per GROUP BY ALL), u AS (SELECT node, array_to_string(list_sort(list(DISTINCT word)), ',') AS words FROM m GROUP BY ALL), e AS (SELECT b.node, u.words, b.chunk, text, {_FIRST} AS word, length(regexp_extract(lower(text), '(?s)^(.*?)\\b' || {_FIRST} || '\\b', 1)) + 1 AS spot FROM b JOIN u USING (node) JOIN gap USING (node) JOIN conversations ON conv_id * 1000 + turn = b.chunk) SELECT node, words, chunk, md5(CASE WHEN spot > 61 THEN '…' ELSE '' END || substr(text, greatest(1, spot - 60), spot + length(word) + 60 - greatest(1, spot - 60)) || CASE WHEN spot + length(word) + 60 <= length(text) THEN '…' ELSE '' END) AS excerpt_md5 FROM e")
 def gap_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Unlinked items whose keywords turns hold, with the best turn and an excerpt of it; links of first chunks count here."""
     nodes = v.table(spark, d, "benchmark").selectExpr("item_id node", "text label")
