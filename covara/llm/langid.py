@@ -22,6 +22,8 @@ TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT, MOST_LANGUAGES, SPARE = 800, 3, 400, 4
 STEPS, BATCH, RATE, SEED = 900, 64, 0.01, 7
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 _REACH = max(WIDTHS)
+#: Windows judged at once.
+STRIP = 8192
 
 
 @dataclass
@@ -96,16 +98,26 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps:
     return net
 
 
-def windows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of WINDOW bytes that cover each text (the last one ends with it, a short one is padded by zeros), and the text of each."""
+def window_places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows of WINDOW bytes that cover each text (the last one ends with it), and the text of each."""
     size = np.diff(at)
     n = -(-size // WINDOW)
     of = np.repeat(np.arange(len(size)), n)
     k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    start = at[:-1][of] + np.maximum(0, np.minimum(k * WINDOW, size[of] - WINDOW))
+    return at[:-1][of] + np.maximum(0, np.minimum(k * WINDOW, size[of] - WINDOW)), of
+
+
+def window_rows(data: np.ndarray, at: np.ndarray, start: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The bytes of these windows, zeros behind the end of a short text."""
     place = start[:, None] + np.arange(WINDOW)
     inside = place < at[1:][of][:, None]
-    return np.where(inside, np.append(data, np.uint8(0))[np.where(inside, place, len(data))], 0).astype(np.uint8), of
+    return np.where(inside, data[np.where(inside, place, 0)], 0).astype(np.uint8)
+
+
+def windows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the texts and the text of each."""
+    start, of = window_places(at)
+    return window_rows(data, at, start, of), of
 
 
 def fit(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, steps: int = STEPS) -> Network | None:
@@ -157,9 +169,13 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
                 predicted, score = [None] * n, np.zeros(n)
                 if net:
                     data, at = ta.text_bytes(part.column("text"))
-                    x, of = windows_of(ta.LOWER[data], at)
-                    p = net.probabilities(x)
-                    mean = np.stack([np.bincount(of, p[:, k], n) for k in range(p.shape[1])], 1) / np.maximum(1, np.bincount(of, minlength=n))[:, None]
+                    data, total = ta.LOWER[data], np.zeros((n, len(net.languages)))
+                    start, of = window_places(at)
+                    for i in range(0, len(of), STRIP):  # so that a very long text takes no more memory than its bytes
+                        own = of[i : i + STRIP]
+                        p = net.probabilities(window_rows(data, at, start[i : i + STRIP], own))
+                        total += np.stack([np.bincount(own, p[:, k], n) for k in range(p.shape[1])], 1)
+                    mean = total / np.maximum(1, np.bincount(of, minlength=n))[:, None]
                     best = mean.argmax(1)
                     predicted, score = [net.languages[k] for k in best], mean[np.arange(n), best]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(predicted, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])

@@ -35,7 +35,8 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, mos
         for i in over:
             out[i] = most * sizes[i]
         left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
+        gone = set(over)
+        free = [i for i in free if i not in gone]
     return out
 
 
@@ -68,7 +69,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     rows = [(r["source"], r["source_size"], t, epochs := (int(t // r["source_size"]) if r["source_size"] else 0), math.floor(t) - epochs * r["source_size"]) for r, t in zip(totals, targets)]
     plan = F.broadcast(spark.createDataFrame(rows, "source string, source_size bigint, target double, epochs bigint, rest bigint"))  # one row a source: bounded above
 
-    bits = max(0, math.ceil(math.log2(max(1, sum(r["n"] for r in totals) / range_rows))))
+    # at least a range for each shuffle partition, so that a small table with one large source is spread too
+    bits = math.ceil(math.log2(max(2, sum(r["n"] for r in totals) / range_rows, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     key = F.xxhash64("doc_id", "epochs", F.lit(SEED))
     dealt = (
         sized.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))

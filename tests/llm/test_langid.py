@@ -56,3 +56,17 @@ def test_edges(spark, edges, empty):
     assert g.fit(empty) is None
     assert {r.lang_pred for r in g.identify(edges.selectExpr("*", "true held_out"), None).collect()} == {"und"}
     assert g.identify(empty.selectExpr("*", "true held_out"), net).count() == 0
+
+
+def test_strips_of_windows_give_the_same_rows():
+    """Every window holds the bytes of its place, and windows cover each text."""
+    texts = [b"", b"abc", bytes(range(256)) * 5, b"x" * g.WINDOW, b"y" * (g.WINDOW + 1)]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    rows, of = g.windows_of(data, at)
+    start, _ = g.window_places(at)
+    for row, k, s in zip(rows, of, start):
+        own = data[s : min(s + g.WINDOW, at[k + 1])].tobytes()
+        assert row.tobytes() == own.ljust(g.WINDOW, b"\0") and at[k] <= s
+    for k, t in enumerate(texts):
+        covered = set().union(*(range(s, min(s + g.WINDOW, at[k + 1])) for s, o in zip(start, of) if o == k)) if t else set()
+        assert covered == set(range(at[k], at[k + 1]))
