@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op1_decontaminate
 from .interpolation import op4_lm_score
 from .langid import op5_language_id
+from .merkle import ORACLE_SQL as MERKLE_SQL
+from .merkle import op11_merkle_manifest
 from .mixing import op7_mix_sources
 from .quality import op3_quality_rules
 from .secrets import op8_secret_scan
@@ -17,7 +19,7 @@ from .suffixes import op10_suffix_dedup
 from .toxicity import op6_toxicity
 from .wrappers import op2_html_text
 
-_OPERATORS = (op1_decontaminate, op2_html_text, op3_quality_rules, op4_lm_score, op5_language_id, op6_toxicity, op7_mix_sources, op8_secret_scan, op9_simhash, op10_suffix_dedup)
+_OPERATORS = (op1_decontaminate, op2_html_text, op3_quality_rules, op4_lm_score, op5_language_id, op6_toxicity, op7_mix_sources, op8_secret_scan, op9_simhash, op10_suffix_dedup, op11_merkle_manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle_manifest": MERKLE_SQL}
