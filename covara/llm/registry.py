@@ -17,9 +17,11 @@ from .secrets import op8_secret_scan
 from .simhash import op9_simhash
 from .suffixes import op10_suffix_dedup
 from .toxicity import op6_toxicity
+from .urls import ORACLE_SQL as URLS_SQL
+from .urls import op13_url_filter
 from .wrappers import op2_html_text
 
-_OPERATORS = (op1_decontaminate, op2_html_text, op3_quality_rules, op4_lm_score, op5_language_id, op6_toxicity, op7_mix_sources, op8_secret_scan, op9_simhash, op10_suffix_dedup, op11_merkle_manifest)
+_OPERATORS = (op1_decontaminate, op2_html_text, op3_quality_rules, op4_lm_score, op5_language_id, op6_toxicity, op7_mix_sources, op8_secret_scan, op9_simhash, op10_suffix_dedup, op11_merkle_manifest, op13_url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle_manifest": MERKLE_SQL}
+    return {"op11_merkle_manifest": MERKLE_SQL, "op13_url_filter": URLS_SQL}
