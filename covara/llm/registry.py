@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversations import ORACLE_SQL as TRIE_SQL
+from .conversations import op12_prefix_trie
 from .decontaminate import op1_decontaminate
 from .interpolation import op4_lm_score
 from .langid import op5_language_id
@@ -21,7 +23,7 @@ from .urls import ORACLE_SQL as URLS_SQL
 from .urls import op13_url_filter
 from .wrappers import op2_html_text
 
-_OPERATORS = (op1_decontaminate, op2_html_text, op3_quality_rules, op4_lm_score, op5_language_id, op6_toxicity, op7_mix_sources, op8_secret_scan, op9_simhash, op10_suffix_dedup, op11_merkle_manifest, op13_url_filter)
+_OPERATORS = (op1_decontaminate, op2_html_text, op3_quality_rules, op4_lm_score, op5_language_id, op6_toxicity, op7_mix_sources, op8_secret_scan, op9_simhash, op10_suffix_dedup, op11_merkle_manifest, op12_prefix_trie, op13_url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -29,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle_manifest": MERKLE_SQL, "op13_url_filter": URLS_SQL}
+    return {"op11_merkle_manifest": MERKLE_SQL, "op12_prefix_trie": TRIE_SQL, "op13_url_filter": URLS_SQL}
