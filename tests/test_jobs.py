@@ -47,7 +47,7 @@ def test_packing(budget, overlap):
     assert all(len(p.split()) <= max(budget, budget + overlap) for p in parts)
     assert set(" ".join(x for x, _ in units).split()) == set(" ".join(parts).split())
     assert chunking.pack([], budget, overlap) == [] and chunking.pack([("all in one.", 3)], budget, overlap) == ["all in one."]
-    assert chunking.hard_split("a b c d e f g".split(), 4, 1) == ["a b c d", "d e f g"]
+    assert chunking.word_windows("a b c d e f g".split(), 4, 1) == ["a b c d", "d e f g"]
 
 
 LESSON = """Learning Objectives
@@ -131,3 +131,31 @@ def test_isolated_work(spark):
     rows = spark.createDataFrame([(1, "4"), (2, "x"), (3, None)], "id int, t string")
     got = keyed.isolated(rows, {"n": F.col("t").try_cast("int") * 2}, {"text": F.col("t").isNotNull(), "number": F.col("t").rlike("^[0-9]+$")}).orderBy("id").collect()
     assert [(r.error, r.n) for r in got] == [(None, 8), ("number", None), ("text", None)]
+
+
+def test_ranges_do_not_depend_on_segments(spark):
+    """A range that spans segments of few lines is found as in one segment, with its pages and numbers."""
+    text = ("Learning Objectives\n\nObjectives\n" + "1. Describe the flow of blood.\n" * 7 + "Overview\nno range\n") * 3
+    both = docs(spark, text, LESSON, "Objectives", "nothing", "")
+    want = [tuple(r) for r in objectives.objective_ranges(both).orderBy("doc_id", "range_no").collect()]
+    assert len(want) > 3
+    for n in (1, 2, 5):
+        assert [tuple(r) for r in objectives.objective_ranges(both, segment_lines=n).orderBy("doc_id", "range_no").collect()] == want
+
+
+def test_a_long_document_spreads_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from covara.operators import scan
+
+    flip = scan.Automaton(2, 2, lambda s, x: (s ^ x, 1 if s ^ x else 2))
+    lines = spark.range(200_000).selectExpr("0 doc_id", "cast(id as int) line_no", "cast(id % 3 = 0 as int) symbol")
+    found = scan.scanned(lines, "doc_id", flip, F.col("symbol"), F.col("symbol"), ["symbol"], 1000)
+    rows = found.agg(F.sum(F.col("out") * F.col("line_no")).alias("a"), F.max("number").alias("n"), F.max("before").alias("b"), F.max("marks").alias("m")).first()
+    state = total = ones = 0
+    for i in range(200_000):
+        state ^= i % 3 == 0
+        ones += state
+        total += i * (1 if state else 2)
+    assert (rows.a, rows.n, rows.m) == (total, ones, 66_667)
+    assert found.groupBy(F.spark_partition_id()).count().count() > 1
