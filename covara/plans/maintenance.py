@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from covara.operators import keyed as k
 from covara.plans.registered import query
+from covara.plans.streams import _folder, _Stopped
+from covara.sources import versions
 from covara.sources import views as v
 
 
-
 @query("WITH ranked AS (SELECT c_custkey AS id, c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal > 5000 DESC, c_custkey) AS place, first_value(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal > 5000 DESC, c_custkey) AS survivor FROM customer) SELECT id, cast(place AS integer) AS place, survivor FROM ranked")
 def dedupe_survivors(spark: SparkSession, d: str) -> DataFrame:
     """The customer kept for each nation and segment, one with a high balance if there is one."""
@@ -203,3 +204,26 @@ def short_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids that are all short enough; a longer one would be an error that names it."""
     rows = v.table(spark, d, "part").withColumn("stable_id", F.when(F.col("p_size") > 25, F.concat("p_name", "p_brand")).otherwise(F.col("p_brand")))
     return k.require_short_ids(rows, "stable_id", 120).select("p_partkey", "stable_id")
+
+
+@query("WITH f AS (SELECT o_orderkey AS document_id FROM orders WHERE o_orderstatus = 'F'), old AS (SELECT l_orderkey AS document_id, count(*) FILTER (l_quantity > 5) AS before, count(*) FILTER (l_linenumber <= 2) AS fresh FROM lineitem GROUP BY ALL) SELECT document_id, coalesce(before, 0) AS before, coalesce(fresh, 0) AS after, coalesce(fresh, 0) - coalesce(before, 0) AS delta FROM f LEFT JOIN old USING (document_id) UNION ALL SELECT -1, sum(before), sum(CASE WHEN document_id IN (SELECT document_id FROM f) THEN fresh ELSE before END), 0 FROM old")
+def replaced_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each replaced document before and after their replacement in a store, and of the whole store (-1).
+
+    The first commit is cut off after its files are written: the store still reads as before (else the report is wrong), and the second one counts.
+    """
+    lines = v.table(spark, d, "lineitem").selectExpr("l_orderkey document_id", "l_linenumber n", "l_quantity value")
+    owners = v.table(spark, d, "orders").filter("o_orderstatus = 'F'").selectExpr("o_orderkey document_id")
+    store = _Stopped(spark, _folder(spark), {"lines": ("document_id bigint, n int, value double", "document_id")}, buckets=16)
+    store.cut = False
+    first = lines.filter("value > 5")
+    store.replace({"lines": (first, first)})
+    fresh = lines.filter("n <= 2").join(owners, "document_id", "left_semi").withColumn("value", F.col("value") + 1)
+    store.cut = True
+    try:
+        store.replace({"lines": (fresh, owners)})
+    except RuntimeError:
+        half = store.read("lines").count()
+    report = versions.replaced_rows(store, "lines", fresh, owners)
+    whole = store.read("lines").agg(F.lit(-1).cast("bigint").alias("document_id"), F.lit(half).cast("bigint").alias("before"), F.count("*").alias("after"), F.lit(0).cast("bigint").alias("delta"))
+    return report.unionByName(whole)
