@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covara.operators import isolation
 from covara.operators import keyed as k
 from covara.plans.registered import query
 from covara.plans.streams import _folder, _Stopped
@@ -227,3 +230,22 @@ def replaced_documents(spark: SparkSession, d: str) -> DataFrame:
     report = versions.replaced_rows(store, "lines", fresh, owners)
     whole = store.read("lines").agg(F.lit(-1).cast("bigint").alias("document_id"), F.lit(half).cast("bigint").alias("before"), F.count("*").alias("after"), F.lit(0).cast("bigint").alias("delta"))
     return report.unionByName(whole)
+
+
+def _measure(row: dict, attempt: int) -> dict:
+    """Words of a text and their mean length; a first attempt does not take long texts."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", row["text"])
+    if attempt == 1 and len(found) > 300:
+        raise MemoryError(f"{len(found)} words")
+    return {"words": len(found), "mean": sum(map(len, found)) / len(found)}
+
+
+@query(r"WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), c AS (SELECT doc_id, CASE WHEN text IS NULL THEN 'TypeError: expected string or bytes-like object, got ''NoneType''' WHEN len(w) = 0 THEN 'ZeroDivisionError: division by zero' END AS error, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS letters FROM w) SELECT doc_id, cast(CASE WHEN error IS NOT NULL OR n > 300 THEN 2 ELSE 1 END AS integer) AS attempt, error, CASE WHEN error IS NULL THEN n END AS words, CASE WHEN error IS NULL THEN letters / n END AS mean FROM c")
+def isolated_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of all documents after three runs of work that raises on some: long ones succeed when tried again, those without words stay in quarantine and are not tried a third time."""
+    documents = v.table(spark, d, "documents").select("doc_id", "text")
+    store = versions.Store(spark, _folder(spark), isolation.tables("doc_id", "bigint", "struct<words: bigint, mean: double>"), buckets=8)
+    for _ in range(3):
+        isolation.run_isolated(store, documents, "doc_id", ["text"], _measure, most_attempts=2)
+    failed = store.read("quarantine").select("doc_id", "attempt", "error", F.lit(None).cast("bigint").alias("words"), F.lit(None).cast("double").alias("mean"))
+    return store.read("results").select("doc_id", "attempt", F.lit(None).cast("string").alias("error"), "value.words", "value.mean").unionByName(failed)
