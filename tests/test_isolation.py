@@ -108,7 +108,7 @@ def test_streams_over_several_batches_and_a_restart(spark, tmp_path):
     from covara.streaming.streams import run_available
 
     r = random.Random(3)
-    events = [(r.randint(1, 5), i, 7 * i, r.choice(["queued", "running", "complete", "failed"])) for i in range(120)]
+    events = [(r.randint(1, 5), i, 1000 + 7 * i, r.choice(["queued", "running", "complete", "failed"])) for i in range(120)]
     df = spark.createDataFrame(events, "job bigint, n bigint, s bigint, state string").selectExpr("job", "n", "state", "timestamp_seconds(s) t")
     for i in range(3):  # each batch later than the one before
         df.filter(F.col("n").between(40 * i, 40 * i + 39)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
