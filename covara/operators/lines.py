@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"\w+|[^\w\s]"
-
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each line (CRLF or LF), numbered from 0."""
     return docs.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
 
 
-def token_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)))
-
-
 def in_order(key: str = "doc_id") -> Window:
     return Window.partitionBy(key).orderBy("line_no")
 
@@ -101,14 +95,18 @@ def keywords(text: Column, least_chars: int = 5, stop: tuple[str, ...] = (), spl
     return F.array_distinct(F.filter(F.split(F.lower(text), splitter), lambda x: (F.length(x) >= least_chars) & ~x.isin(*(stop or ("",)))))
 
 
-def word_matches(nodes: DataFrame, chunks: DataFrame, least_chars: int = 5, stop: tuple[str, ...] = ()) -> DataFrame:
+def word_matches(nodes: DataFrame, chunks: DataFrame, least_chars: int = 5, stop: tuple[str, ...] = (), hot: int = 100_000, salts: int = 16) -> DataFrame:
     """node, chunk and word of the node keywords (node, label) in chunks (chunk, content): an equi-join on words.
 
-    Stop words are few and meet no chunk; a word of very many chunks is split by adaptive execution.
+    Words of more than `hot` chunks, counted first, are dealt to `salts` keys each; the nodes that have them are repeated as often.
     """
     n = nodes.select("node", F.explode(keywords(F.col("label"), least_chars, stop)).alias("word"))
     c = chunks.select("chunk", F.explode(keywords(F.col("content"), least_chars, stop)).alias("word"))
-    return n.join(c, "word").select("node", "chunk", "word")
+    frequent = c.groupBy("word").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select("word", F.lit(True).alias("_hot"))  # at most one word for each `hot` rows
+    salted = c.join(frequent, "word", "left").select("word", "chunk", F.when(F.col("_hot"), F.pmod(F.xxhash64("chunk"), F.lit(salts))).otherwise(0).cast("int").alias("_salt"))
+    every = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
+    repeated = n.join(frequent, "word", "left").select("word", "node", F.explode(every).alias("_salt"))
+    return repeated.join(salted, ["word", "_salt"]).select("node", "chunk", "word")
 
 
 def keyword_hits(nodes: DataFrame, chunks: DataFrame, least_chars: int = 5, stop: tuple[str, ...] = ()) -> DataFrame:

@@ -23,12 +23,20 @@ def with_gaps(catalog: DataFrame, counts: DataFrame, keys: list[str]) -> DataFra
     return catalog.join(counts, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
 
 
+SALTS = 16
+
+
+def combined(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Every row of rows with every row of few, which is repeated SALTS times: rows are dealt to as many keys, so they spread where few is too large to be copied."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    return dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), "_salt").drop("_salt")
+
+
 def catalog_of_courses(topics: DataFrame, courses: DataFrame, scopes: DataFrame) -> DataFrame:
     """The topics of each course: those of its target systems, or all where the course is not curated."""
     curated = scopes.join(topics, "system")
     open_courses = courses.select("course_id").join(scopes, "course_id", "left_anti")
-    # Each open course takes the whole catalog; Spark copies the few courses where they are small enough.
-    every = topics.withColumn("_all", F.lit(1)).join(open_courses.withColumn("_all", F.lit(1)), "_all")
+    every = combined(topics, open_courses)
     return curated.select("course_id", *topics.columns).unionByName(every.select("course_id", *topics.columns))
 
 
@@ -73,8 +81,7 @@ def heatmap(facts: DataFrame, totals: DataFrame, *keys: str) -> DataFrame:
 
 def dense_heatmap(cells: DataFrame, axis: DataFrame) -> DataFrame:
     """Every case of a course against every system; absent cells are gaps."""
-    systems = axis.select("system").distinct().withColumn("_all", F.lit(1))
-    grid = cells.select("course_id", "case_number").distinct().withColumn("_all", F.lit(1)).join(systems, "_all").drop("_all")
+    grid = combined(cells.select("course_id", "case_number").distinct(), axis.select("system").distinct())
     return grid.join(cells.select("course_id", "case_number", "system", "status"), ["course_id", "case_number", "system"], "left").withColumn("status", F.coalesce("status", F.lit("gap")))
 
 
@@ -138,10 +145,6 @@ def case_heatmap(touched: DataFrame, totals: DataFrame) -> DataFrame:
     return touched.join(totals, ["course_id", "system"], "left").withColumn("status", heatmap_cell(F.col("touched"), F.col("total")))
 
 
-def case_slice(cells: DataFrame, case: int) -> DataFrame:
-    return cells.filter(F.col("case_number") == case).select("course_id", "system", "status")
-
-
 def course_coverage_rows(links: DataFrame, courses: DataFrame, scopes: DataFrame, systems_catalog: DataFrame, competencies: DataFrame, notes: DataFrame) -> DataFrame:
     """Every topic of both catalogs for each course: framework, system, topic, docs, courses (0 or 1), level, stable_id, elsewhere and detail.
 
@@ -151,7 +154,7 @@ def course_coverage_rows(links: DataFrame, courses: DataFrame, scopes: DataFrame
     counts = documents_per_topic(links, "course_id").withColumnRenamed("framework_id", "stable_id")
     first = with_gaps(catalog_of_courses(systems_catalog, courses, scopes), counts, ["course_id", "stable_id"]).join(notes, "stable_id", "left")
     first = first.select("course_id", F.lit("USMLE").alias("framework"), "system", topic_label(F.col("system"), F.col("subdomain")).alias("topic"), "docs", "stable_id", "elsewhere", scope_hint(F.col("subdomain"), F.col("full_text")).alias("detail"))
-    every = competencies.withColumn("_all", F.lit(1)).join(courses.select("course_id").withColumn("_all", F.lit(1)), "_all").drop("_all")
+    every = combined(competencies, courses.select("course_id"))
     second = with_gaps(every, counts, ["course_id", "stable_id"])
     second = second.select("course_id", F.lit("AAMC").alias("framework"), F.col("domain").alias("system"), described_label(F.col("sub_id"), F.col("stable_id").cast("string"), F.col("description")).alias("topic"), "docs", "stable_id")
     rows = first.unionByName(second, allowMissingColumns=True)
@@ -191,7 +194,7 @@ def competency_coverage(competencies: DataFrame, links: DataFrame, documents: Da
     """
     wanted = links.filter(F.col("framework").isin(*frameworks)).join(documents.select("document_id", "course_id"), "document_id")
     hit = wanted.select("course_id", F.col("framework_id").alias("stable_id")).distinct().join(competencies, "stable_id").groupBy("course_id", "domain").agg(F.count("*").alias("covered"))
-    totals = competencies.groupBy("domain").agg(F.count_distinct("stable_id").alias("total")).withColumn("_all", F.lit(1))
-    grid = totals.join(documents.select("course_id").distinct().withColumn("_all", F.lit(1)), "_all").drop("_all")
+    totals = competencies.groupBy("domain").agg(F.count_distinct("stable_id").alias("total"))
+    grid = combined(totals, documents.select("course_id").distinct())
     rows = with_gaps(grid, hit, ["course_id", "domain"])
     return rows.withColumn("percent", percent(F.col("covered"), F.col("total")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +82,32 @@ def verbatim_items(spark: SparkSession, d: str) -> DataFrame:
     return verbatim(own.unionByName(others), v.table(spark, d, "documents"), "doc_id").select("doc_id", "candidate")
 
 
-def verbatim(candidates: DataFrame, documents: DataFrame, key: str, least: int = 12) -> DataFrame:
-    """Candidates (key, text) of `least` normalised characters or more that the text of their document contains."""
+def verbatim(candidates: DataFrame, documents: DataFrame, key: str, least: int = 12, most: int = 5000) -> DataFrame:
+    """Candidates (key, text) of `least` normalised characters or more that the text of their document contains.
+
+    A document's text meets its candidates in arrays of about `most`, not one by one; it is read once for each array, by the candidates' first characters.
+    """
+    columns = [c for c in candidates.columns if c != key]
     short = candidates.withColumn("_text", normalised(F.col("text"))).filter(F.length("_text") >= least)
+    parts = short.groupBy(key).agg(F.ceil(F.count("*") / most).alias("_parts"))
+    lists = short.join(parts, key).groupBy(key, F.pmod(F.xxhash64("_text"), F.col("_parts")).alias("_part")).agg(F.collect_list(F.struct("_text", F.struct(*columns).alias("row"))).alias("_all"))
     texts = documents.select(key, normalised(F.col("text")).alias("_source"))
-    return short.join(texts, key).filter(F.contains("_source", "_text")).drop("_text", "_source")
+
+    def held(sources: pd.Series, wanted: pd.Series) -> pd.Series:
+        def of(source: str | None, some) -> list[bool]:
+            if source is None:
+                return [False] * len(some)
+            open_, found = {}, set()
+            for x in {*some}:
+                open_.setdefault(x[:least], []).append(x)
+            for i in range(len(source) - least + 1):
+                for x in open_.get(source[i : i + least], ()):
+                    if source.startswith(x, i):
+                        found.add(x)
+            return [x in found for x in some]
+
+        return pd.Series([of(s, w) for s, w in zip(sources, wanted)])
+
+    inside = F.pandas_udf(held, "array<boolean>")("_source", F.transform("_all", lambda x: x["_text"]))
+    rows = lists.join(texts, key).select(key, F.explode(F.arrays_zip("_all", inside.alias("_held"))).alias("_x")).filter("_x._held")
+    return rows.select(key, "_x._all.row.*").select(*candidates.columns)
