@@ -15,16 +15,17 @@ _SHEET = "sheet AS (SELECT p_partkey AS n, p_brand AS filename, CASE WHEN p_size
 
 @query(f"WITH {_SHEET}, last AS (SELECT filename, label, source_index, arg_max(text, n) AS text_for_embed FROM sheet WHERE label <> '' GROUP BY ALL), stored AS (SELECT s_name AS filename, 'kept' AS label, NULL AS source_index, 'old' AS text_for_embed FROM supplier) SELECT *, (SELECT count(*) FROM sheet WHERE label <> '') AS upserted, (SELECT count(*) FROM sheet WHERE label = '') AS skipped FROM (SELECT * FROM last UNION ALL SELECT * FROM stored)")
 def caption_sheet(spark: SparkSession, d: str) -> DataFrame:
-    """Captions after the import of a sheet made of parts, in one file so that its rows have an order, with the numbers of its rows put in and skipped."""
+    """Captions after the import of a sheet of several files made of parts, in their order, with the numbers of its rows put in and skipped."""
     folder = _folder(spark)
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    parts = v.table(spark, d, "part")
-    cells = F.concat_ws(",", quoted(F.col("p_brand")), quoted(F.when(F.col("p_size") > 45, "").otherwise(F.col("p_type"))), quoted(F.concat("p_name", F.lit(' "'), "p_partkey", F.lit('", x'))), F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string")).otherwise("none"))
-    head = spark.createDataFrame([(-1, " FileName,Label ,text_for_embed,storage_index")], "n bigint, value string")
-    head.unionByName(parts.select(F.col("p_partkey").alias("n"), cells.alias("value"))).coalesce(1).sortWithinPartitions("n").select("value").write.text(f"{folder}/sheet")
+    parts = v.table(spark, d, "part").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey")
+    sheet = parts.select(
+        F.col("p_brand").alias(" FileName"), F.when(F.col("p_size") > 45, "").otherwise(F.col("p_type")).alias("Label "), F.concat("p_name", F.lit(' "'), "p_partkey", F.lit('", x')).alias("text_for_embed"),
+        F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string")).otherwise("none").alias("storage_index"),
+    )
+    sheet.write.option("header", True).option("escape", '"').csv(f"{folder}/sheet")
     stored = v.table(spark, d, "supplier").select(F.col("s_name").alias("filename"), F.lit("kept").alias("label"), F.lit(None).cast("int").alias("source_index"), F.lit("old").alias("text_for_embed"))
     rows, counts = readers.import_captions(spark, f"{folder}/sheet", stored)
-    return rows.withColumn("_all", F.lit(1)).join(counts.withColumn("_all", F.lit(1)), "_all").drop("_all")  # counts is one row
+    return rows.join(F.broadcast(counts))  # one row
 
 
 @query("WITH n AS (SELECT n_nationkey, n_name, r_name, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS i FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT 'aamc:' || lower(substr(r_name, 1, 2)) || i AS stable_id, upper(substr(r_name, 1, 2)) || i AS sub_id, r_name AS domain_name, n_name AS description, r_name || ' — ' || n_name AS full_text, 'aamc:' || lower(substr(r_name, 1, 2)) AS parent_stable_id FROM n")

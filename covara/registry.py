@@ -6,7 +6,7 @@ from importlib import import_module
 
 from covara.plans.registered import QUERIES, SQL, Query
 
-for _name in ("course", "cases", "maintenance", "retrieval", "texts", "chunks", "objectives", "figures", "audits", "items", "screens", "coverage", "scalars", "streams", "sources"):
+for _name in ("course", "cases", "maintenance", "retrieval", "texts", "chunks", "objectives", "figures", "audits", "items", "screens", "coverage", "scalars", "streams", "sources", "payloads"):
     import_module(f"covara.plans.{_name}")
 
 

@@ -10,15 +10,16 @@ from covara.operators.keyed import upsert
 
 
 def captions(spark: SparkSession, path: str, required: tuple[str, ...] = ("filename", "label", "text_for_embed"), index: str = "storage_index") -> DataFrame:
-    """Caption rows by header name, with complete; a missing required column is an error. The index is a number or null."""
+    """Caption rows by header name, with complete and _place, which ascends through the files of the sheet by name, each with a header, and through their rows; a missing required column is an error. The index is a number or null."""
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    rows = raw.toDF(*(c.strip().lower() for c in raw.columns))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    rows = raw.select(*(F.col(f"`{c}`").alias(c.strip().lower()) for c in raw.columns), place.alias("_place"))
     if missing := [c for c in required if c not in rows.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     cells = [F.trim(c).alias(c) for c in required]
     number = F.trim(index).try_cast("int") if index in rows.columns else F.lit(None).cast("int")
     complete = [F.coalesce(F.trim(c), F.lit("")) != "" for c in required]
-    return rows.select(*cells, number.alias("source_index"), (complete[0] & complete[1] & complete[2]).alias("complete"))
+    return rows.select(*cells, number.alias("source_index"), (complete[0] & complete[1] & complete[2]).alias("complete"), "_place")
 
 
 def import_captions(spark: SparkSession, path: str, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,11 +27,11 @@ def import_captions(spark: SparkSession, path: str, stored: DataFrame) -> tuple[
 
     The key is the file, the label and the index, null among them; of rows with one key the last in the sheet counts.
     """
-    rows = captions(spark, path).withColumn("_n", F.monotonically_increasing_id())
+    rows = captions(spark, path)
     keys = ["filename", "label", "source_index"]
-    fresh = rows.filter("complete").select(*keys, "text_for_embed", "_n")
+    fresh = rows.filter("complete").select(*keys, "text_for_embed", "_place")
     counts = rows.agg(F.count_if("complete").alias("upserted"), F.count_if(~F.col("complete")).alias("skipped"))
-    return upsert(stored.withColumn("_n", F.lit(-1).cast("bigint")), fresh, keys, ["_n"]).drop("_n"), counts
+    return upsert(stored.withColumn("_place", F.lit(None).cast(fresh.schema["_place"].dataType)), fresh, keys, ["_place"]).drop("_place"), counts
 
 
 def taxonomy(spark: SparkSession, path: str, prefix: str = "aamc") -> DataFrame:
@@ -98,7 +99,3 @@ def restore(spark: SparkSession, path: str, schemas: dict[str, str], to: str | N
             out[name].write.mode("error").parquet(f"{to}/{name}")
             out[name] = spark.read.parquet(f"{to}/{name}")
     return out
-
-
-def latest_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("__n = 1").drop("__n")
