@@ -32,7 +32,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, at = ta.text_bytes(column)
     data = ta.LOWER[data]
     start, end = ta.runs(~ta.SPACE[data], at)
-    words = ta.span_hashes(ta.prefix_sums(data), start, end)
+    words = ta.string_hashes(data, ta.prefix_sums(data), start, end)
     n = np.diff(np.searchsorted(start, at))
     of = np.repeat(np.arange(len(n)), n + 1)
     token = np.empty(len(of), np.uint64)

@@ -43,7 +43,7 @@ def text_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     start, end = ta.runs(~ta.SPACE[data], at)
     of = ta.owners(start, at)
     p = ta.prefix_sums(data)
-    word = ta.span_hashes(p, start, end)
+    word = ta.string_hashes(data, p, start, end)
     texts = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     repeated = np.zeros(n, np.int64)
@@ -67,7 +67,7 @@ def text_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     worded = np.searchsorted(start, tails) > np.searchsorted(start, heads)
     heads, tails = heads[worded], tails[worded]
     line_of = ta.owners(heads, at)
-    lines = ta.span_hashes(p, heads, tails) ^ texts[line_of]
+    lines = ta.string_hashes(data, p, heads, tails) ^ texts[line_of]
     _, first = np.unique(lines, return_index=True)
     later = np.ones(len(lines), bool)
     later[first] = False

@@ -248,14 +248,17 @@ def fingerprint_groups(docs: DataFrame, words: int = WORDS, most_bits: int = MOS
 
     Lower-cases A-Z and hashes shingles of `words` words; a shorter text is one shingle. Null and empty texts
     have fingerprint 0, which links like any other. Repeated rows and equal texts share a node, so groups of
-    copies of any size cost one node. A null doc_id gets the component of its fingerprint's other rows, or null.
+    copies of any size cost one node. A row without doc_id links like others, so it may join two others; its component
+    has the smallest doc_id there is, null where there is none.
     Empty tables give no rows; other columns are ignored.
     """
     fps = materialise(fingerprints(docs, words))
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    component = connected_components(near_links(nodes, most_bits))
-    of_fp = nodes.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    component = connected_components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), most_bits))
+    nodes = nodes.join(component.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    whole = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_fp = nodes.join(whole, "component").select("fp", "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = COPY_WORDS, least: Fraction = SIMILARITY) -> DataFrame:

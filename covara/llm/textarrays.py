@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, LONG_BYTES = 1 << 20, 128
 
 #: Bytes of white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -65,6 +66,17 @@ def span_hashes(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((p[end] - p[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def string_hashes(data: np.ndarray, p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """span_hashes() of data with prefix sums p, but XXH64 for spans of LONG_BYTES and more.
+
+    Polynomials modulo a power of two give certain regular strings of about 1,000 bytes (a Thue-Morse word and its complement) one value.
+    """
+    out = span_hashes(p, start, end)
+    for i in np.flatnonzero(end - start >= LONG_BYTES).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].data, 7)
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts together and len + 1 offsets into them; null counts as empty."""
     column = (column if pa.types.is_large_string(column.type) else column.cast(pa.large_string())).fill_null("")

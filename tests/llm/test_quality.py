@@ -56,3 +56,21 @@ def test_verdict_follows_labels(spark, sf):
 def test_verdict_column_agrees(documents, edges):
     for df in (documents, edges):
         assert df.filter(q.quality_verdict(df["text"])).count() == q.quality_rules(df).filter("kept").count()
+
+
+def test_regular_lines_are_told_apart():
+    """A Thue-Morse word and its complement have one polynomial value modulo 2**64 from 1,024 characters on."""
+    import numpy as np
+    import pyarrow as pa
+
+    from covara.llm import quality, textarrays
+
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data, at = textarrays.text_bytes(pa.array([f"{word}\n{other}\n{word}", f"{word} {other}"]))
+    counts = quality.text_counts(data, at)
+    assert counts["n_dup_lines"].tolist() == [1, 0] and counts["n_words"].tolist() == [3, 2]
+    start, end = textarrays.runs(~textarrays.SPACE[data], at)
+    assert len(np.unique(textarrays.string_hashes(data, textarrays.prefix_sums(data), start, end))) == 2

@@ -117,3 +117,13 @@ def test_large_groups_take_time_in_proportion():
     began = time.time()
     s.split_links(fp, s.pivot_table(fp), 4)
     assert time.time() - began < 60
+
+
+def test_rows_without_doc_id_join_others(spark, monkeypatch):
+    """Fingerprints 3 and 4 bits apart over one that only a row without doc_id has, and a group without any doc_id."""
+    rows = [(1, 0b0), (None, 0b111), (3, 0b1111111), (None, 1 << 40), (None, 3 << 40), (9, -1)]
+    monkeypatch.setattr(s, "fingerprints", lambda docs, words: docs)
+    found = s.fingerprint_groups(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    assert sorted(((r.doc_id, r.fp, r.component_id) for r in found), key=str) == sorted([(1, 0, 1), (None, 7, 1), (3, 127, 1), (None, 1 << 40, 1), (None, 3 << 40, 1), (9, -1, 9)], key=str)
+    lone = s.fingerprint_groups(spark.createDataFrame([(None, 5), (None, 4), (2, -1)], "doc_id long, fp long")).collect()
+    assert {(r.fp, r.component_id) for r in lone} == {(5, None), (4, None), (-1, 2)}
