@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covara.functions.scalar import clean
+from covara.functions.scalar import clean, extraction_scope
 
 
 @dataclass(frozen=True)
@@ -77,6 +77,11 @@ def figure_registry(docs: DataFrame, rules: FigureRules = FigureRules(), key: st
     return rows.select(key, "line_no", "kind", "label", "section", has.alias("has_caption"), "text", number.alias("source_index"), "url")
 
 
+def with_scope(registry: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Labels with extraction_scope, which figures of their document's file are taken out; documents (key, kind, file_type). A label without document has none."""
+    return registry.join(documents.select(key, extraction_scope(F.col("kind"), F.col("file_type")).alias("extraction_scope")), key, "left")
+
+
 def mentioned(content: Column, label: Column) -> Column:
     """Whether a text names a label: as it is in any case, or an answer image or figure by its number."""
     text, name = F.lower(content), clean(F.regexp_replace(F.lower(label), r"(?U)\s+", " "))

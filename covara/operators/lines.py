@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SEGMENT_LINES = 4096
+
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each line (CRLF or LF), numbered from 0."""
@@ -19,12 +21,28 @@ def so_far(key: str = "doc_id") -> Window:
     return in_order(key).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def with_sections(lines: DataFrame, heading: Column, key: str = "doc_id") -> DataFrame:
+def running(lines: DataFrame, key: str, sums: dict[str, Column], lasts: dict[str, Column], segment_lines: int = SEGMENT_LINES) -> DataFrame:
+    """lines (key, line_no) with, for each of sums, its sum up to the line, and its sum over the document as total_<name>; and for each of lasts its last value that is not null up to the line.
+
+    A document's lines meet by segments only: each is summed up, and what comes before it is carried on from those few numbers, so a long document spreads over tasks.
+    """
+    cut = lines.withColumn("_segment", F.expr(f"line_no div {segment_lines}")).withColumns({f"_s_{k}": c.cast("bigint") for k, c in sums.items()} | {f"_l_{k}": c for k, c in lasts.items()})
+    per = cut.groupBy(key, "_segment").agg(*(F.sum(f"_s_{k}").alias(f"_n_{k}") for k in sums), *(F.max_by(f"_l_{k}", F.when(F.col(f"_l_{k}").isNotNull(), F.col("line_no"))).alias(f"_v_{k}") for k in lasts), F.count("*").alias("_lines"))
+    before = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(
+        key, "_segment", *(F.coalesce(F.sum(f"_n_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums), *(F.sum(f"_n_{k}").over(Window.partitionBy(key)).alias(f"total_{k}") for k in sums),
+        *(F.last(f"_v_{k}", True).over(before).alias(f"_p_{k}") for k in lasts),
+    )
+    inside = Window.partitionBy(key, "_segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(per, [key, "_segment"])
+    out = {k: F.col(f"_b_{k}") + F.sum(f"_s_{k}").over(inside) for k in sums} | {k: F.coalesce(F.last(f"_l_{k}", True).over(inside), f"_p_{k}") for k in lasts}
+    return joined.select(*lines.columns, *(c.alias(k) for k, c in out.items()), *(f"total_{k}" for k in sums))
+
+
+def with_sections(lines: DataFrame, heading: Column, key: str = "doc_id", segment_lines: int = SEGMENT_LINES) -> DataFrame:
     """Every line with the number of its section and the heading it stands under; before the first heading it is Introduction, without any Document."""
-    marked = lines.withColumn("heading", heading)
-    any_heading = F.max("heading").over(Window.partitionBy(key))
-    last = F.last(F.when(F.col("heading"), F.trim("line")), True).over(so_far(key))
-    return marked.withColumn("section_no", F.sum(F.col("heading").cast("int")).over(so_far(key))).withColumn("section", F.coalesce(last, F.when(any_heading, "Introduction").otherwise("Document")))
+    marked = running(lines.withColumn("heading", heading), key, {"section_no": F.col("heading").cast("int")}, {"section": F.when(F.col("heading"), F.trim("line"))}, segment_lines)
+    return marked.withColumn("section", F.coalesce("section", F.when(F.col("total_section_no") > 0, "Introduction").otherwise("Document"))).drop("total_section_no")
 
 
 def without_contents(lines: DataFrame, pattern: str, first: int = 300, gap: int = 2, least: int = 3, key: str = "doc_id", text: str = "line") -> DataFrame:
@@ -36,12 +54,11 @@ def without_contents(lines: DataFrame, pattern: str, first: int = 300, gap: int
     return lines.join(gone, [key, "line_no"], "left_anti")
 
 
-def with_pages(lines: DataFrame, marker: str, key: str = "doc_id") -> DataFrame:
+def with_pages(lines: DataFrame, marker: str, key: str = "doc_id", segment_lines: int = SEGMENT_LINES) -> DataFrame:
     """Every line with its page: 1 and the markers before it; null in documents without any."""
     n = F.length("line") - F.length(F.replace("line", F.lit(marker), F.lit("")))
-    n = (n / len(marker)).cast("int")
-    before = F.coalesce(F.sum(n).over(in_order(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lines.withColumn("page", F.when(F.sum(n).over(Window.partitionBy(key)) > 0, (1 + before).cast("long")))
+    counted = running(lines.withColumn("_marks", (n / len(marker)).cast("int")), key, {"_so_far": F.col("_marks")}, {}, segment_lines)
+    return counted.withColumn("page", F.when(F.col("total__so_far") > 0, 1 + F.col("_so_far") - F.col("_marks"))).drop("_marks", "_so_far", "total__so_far")
 
 
 def with_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

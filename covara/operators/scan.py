@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT_LINES = 4096
+from covara.operators.lines import SEGMENT_LINES
 
 
 @dataclass(frozen=True)

@@ -47,3 +47,10 @@ def figure_gate(spark: SparkSession, d: str) -> DataFrame:
     files = docs.filter("text is not null").selectExpr("doc_id", "length(text) % 5 source_index", "source path")
     kinds = docs.selectExpr("doc_id", "if(lang = 'en', 'faculty', 'self_study') kind")
     return f.figure_gate(_registry(spark, d), kinds, files).withColumn("failures", F.array_join("failures", ", "))
+
+
+@query(f"WITH {_REGISTRY} SELECT doc_id, line_no, registry.kind, label, CASE WHEN lang = 'en' AND n_chars % 2 = 0 THEN 'pdf_pending' WHEN lang = 'en' AND n_chars % 2 = 1 THEN 'faculty' ELSE 'self_study' END AS extraction_scope FROM registry JOIN documents USING (doc_id)")
+def scoped_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with the scope of their document; English documents stand for faculty guides, those with an even number of characters for PDF files."""
+    documents = v.table(spark, d, "documents").selectExpr("doc_id", "if(lang = 'en', 'faculty', 'self_study') kind", "if(n_chars % 2 = 0, 'pdf', 'docx') file_type")
+    return f.with_scope(_registry(spark, d), documents).select("doc_id", "line_no", "kind", "label", "extraction_scope")

@@ -159,3 +159,22 @@ def test_a_long_document_spreads_over_tasks(spark):
         total += i * (1 if state else 2)
     assert (rows.a, rows.n, rows.m) == (total, ones, 66_667)
     assert found.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_sections_and_pages_do_not_depend_on_segments(spark):
+    from pyspark.sql import functions as F
+
+    from covara.operators import lines as ln
+
+    texts = ["a\nHEAD\nb|\nc||d\nHEAD\n" * 5 + "x", "no heading", "", "HEAD", "|"]
+    rows = ln.lines_of(docs(spark, *texts))
+    want = []
+    for i, t in enumerate(texts):
+        number, section, page, marks = 0, None, 1, t.count("|")
+        for j, x in enumerate(t.split("\n")):
+            number, section = (number + 1, x) if x == "HEAD" else (number, section)
+            want.append((i, j, number, section or ("Introduction" if "HEAD" in t else "Document"), page if marks else None))
+            page += x.count("|")
+    for n in (1, 3, 4096):
+        found = ln.with_pages(ln.with_sections(rows, F.col("line") == "HEAD", segment_lines=n), "|", segment_lines=n)
+        assert sorted(map(tuple, found.select("doc_id", "line_no", "section_no", "section", "page").collect()), key=str) == sorted(want, key=str)
