@@ -50,6 +50,31 @@ def map_payload(documents: DataFrame, chunks: DataFrame, links: DataFrame, media
     return reduce(DataFrame.unionByName, parts)
 
 
+def course_payload(distributions: DataFrame, cells: DataFrame, recent: DataFrame, percents: DataFrame) -> DataFrame:
+    """What a course's page shows besides its counts, as rows (course_id, part, place, line), places from 0 in each course and part; never one value for a course.
+
+    distributions (course_id, framework, addressed, total), cells (course_id, case_number, system, status), recent (course_id, rank, document_id, framework_id), percents (course_id, system, percent).
+    """
+    text = lambda *c: F.concat_ws(":", *(F.col(x).cast("string") for x in c))
+    out = []
+    for part, rows, order, line in (
+        ("distributions", distributions, ["framework"], F.concat("framework", F.lit(":"), "addressed", F.lit("/"), "total")),
+        ("heatmap", cells, ["case_number", "system"], text("case_number", "system", "status")),
+        ("recent", recent, ["rank"], text("document_id", "framework_id")),
+        ("percents", percents, ["system"], text("system", "percent")),
+    ):
+        placed = numbered(rows.select("course_id", *order, line.alias("line")), order, group="course_id")
+        out.append(placed.select("course_id", F.lit(part).alias("part"), F.col("line_no").alias("place"), "line"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def course_export(rows: DataFrame) -> DataFrame:
+    """The export of every course as numbered lines: course_id, line_no and line, in order of framework, system, topic and stable_id."""
+    line = F.concat_ws("|", "system", "topic", F.col("docs").cast("string"), "level")
+    order = ["framework", "system", "topic", "stable_id"]
+    return numbered(rows.select("course_id", *order, line.alias("line")), order, group="course_id").select("course_id", "line_no", "line")
+
+
 def objectives_export(rows: DataFrame, modules: DataFrame, course: int | None = None, module: str = "all") -> DataFrame:
     """The export's columns and line_no, from 0 without gaps, of the objectives (OBJECTIVE_COLUMNS and course_id) of a course, of a module, or of all.
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covara.functions import coverage as cov
 from covara.operators import keyed as k
 from covara.operators import payloads as p
+from covara.operators import rollups as r
 from covara.operators import screens as s
-from covara.plans.coverage import _OBJECTIVE, _objectives
+from covara.plans.course import _ROWS, _catalog, _topic_rows
+from covara.plans.coverage import _OBJECTIVE, _PAYLOAD, _objectives
 from covara.plans.items import _ITEMS, _items
 from covara.plans.registered import query
 from covara.sources import exports
@@ -118,3 +121,26 @@ def csv_lines(spark: SparkSession, d: str) -> DataFrame:
     """An export whose lines are numbered from 0 without gaps."""
     rows = exports.csv_rows(v.table(spark, d, "documents").select("doc_id", "lang"), "Languages", ["doc_id", "lang"], ["doc_id"])
     return rows.select(F.lit("csv").alias("sheet"), "line_no", F.md5("line").alias("line_md5"))
+
+
+@query(f"""WITH {_PAYLOAD}, line AS (SELECT course_id, 'distributions' AS part, [framework] AS o, framework || ':' || addressed || '/' || total AS line FROM dist
+UNION ALL SELECT course_id, 'heatmap', [lpad(cast(case_number AS varchar), 9, '0'), system], case_number || ':' || system || ':' || CASE WHEN coalesce(total, 0) = 0 THEN 'gap' WHEN touched * 1.0 / total >= 0.5 THEN 'covered' ELSE 'partial' END FROM touched LEFT JOIN totals USING (course_id, system)
+UNION ALL SELECT course_id, 'recent', [lpad(cast(n AS varchar), 9, '0')], document_id || ':' || framework_id FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY created_at DESC, document_id, chunk_index, framework_id) AS n FROM live JOIN document USING (document_id)) WHERE n <= 10
+UNION ALL SELECT course_id, 'percents', [system], system || ':' || cast(floor(covered * 100.0 / total + 0.5) AS bigint) FROM p)
+SELECT course_id, part, row_number() OVER (PARTITION BY course_id, part ORDER BY o) - 1 AS place, line FROM line""")
+def course_payload_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Distributions, heatmap, recent links and percents of every course as numbered lines."""
+    rows, catalog = _topic_rows(spark, d), _catalog(spark, d)
+    sizes = catalog.groupBy("course_id", "framework").agg(F.count("*").alias("total"))
+    dist = r.distribution_by(rows.join(sizes, ["course_id", "framework"]), "course_id", "framework")
+    facts = v.facts(spark, d)
+    touched = facts.select("course_id", "case_number", "system", "framework_id").distinct().groupBy("course_id", "case_number", "system").agg(F.count("*").alias("touched"))
+    links = v.live_links(spark, d).join(v.documents(spark, d), "document_id")
+    recent = r.top_per_group(links, ["course_id"], [F.desc("created_at"), "document_id", "chunk_index", "framework_id"], 10)
+    return p.course_payload(dist, r.case_heatmap(touched, r.scoped_totals(catalog)), recent, r.domain_percent(facts, catalog))
+
+
+@query(f"WITH {_ROWS} SELECT course_id, row_number() OVER (PARTITION BY course_id ORDER BY framework, system, topic, stable_id) - 1 AS line_no, system || '|' || topic || '|' || docs || '|' || {cov.LEVEL_SQL} AS line FROM rows")
+def course_export_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The export of each course as numbered lines."""
+    return p.course_export(_topic_rows(spark, d))

@@ -9,13 +9,19 @@ from covara.functions.scalar import csv_cell
 from covara.sources.scratch import stored
 
 
-def numbered(rows: DataFrame, order: list[str], first: int = 0) -> DataFrame:
-    """rows with line_no, their place in the order from `first` on, without gaps: sorted by ranges, each of which begins where the counts of those before it end."""
-    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_place", 33))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
-    parts = F.broadcast(parts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + first).alias("_shift")))  # a row for each shuffle partition
-    return placed.join(parts, "_part").select(*rows.columns, (F.col("_place") + F.col("_shift")).alias("line_no"))
+def numbered(rows: DataFrame, order: list[str], first: int = 0, group: str | None = None) -> DataFrame:
+    """rows with line_no, their place in the order from `first` on, without gaps, within each value of a group column if one is named.
+
+    Rows are sorted by ranges, each of which begins where the counts of those before it end; a large group spreads over ranges. Null is a group like others.
+    """
+    rows_ = rows if group else rows.withColumn("_group", F.lit(0))
+    by = group or "_group"
+    placed = stored(rows_.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("_place", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_place", 33))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    parts = parts.select(F.col(by).alias("_of"), "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + first).alias("_shift"))  # a row for each range and group in it
+    met = placed.alias("a").join(parts.alias("b"), (F.col("a._part") == F.col("b._part")) & F.col(f"a.{by}").eqNullSafe(F.col("b._of")))
+    return met.select(*(f"a.{c}" for c in rows.columns), (F.col("_place") + F.col("_shift")).alias("line_no"))
 
 
 def csv_rows(rows: DataFrame, note: str, columns: list[str], order: list[str]) -> DataFrame:
