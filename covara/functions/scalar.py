@@ -45,9 +45,13 @@ def collapse_label(label: Column) -> Column:
     return F.regexp_replace(label, r"(?s)^((?:[A-Za-z]+\d*:\s+)?+)(.*) — \2$", "$1$2")
 
 
+#: The characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def clean(text: Column) -> Column:
     """Text without white space at the ends; no-break spaces count."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def normalised(text: Column) -> Column:
