@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from covara.operators.keyed import upsert
 
 
-def captions(spark: SparkSession, path: str, required: tuple[str, ...] = ("filename", "label", "text_for_embed"), index: str = "storage_index") -> DataFrame:
-    """Caption rows by header name, with complete and _place, which ascends through the files of the sheet by name, each with a header, and through their rows; a missing required column is an error. The index is a number or null."""
+def _placed_captions(spark: SparkSession, path: str, required: tuple[str, ...] = ("filename", "label", "text_for_embed"), index: str = "storage_index") -> DataFrame:
+    """captions() with _place, which ascends through the files of the sheet by name, each with a header, and through their rows."""
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
     rows = raw.select(*(F.col(f"`{c}`").alias(c.strip().lower()) for c in raw.columns), place.alias("_place"))
@@ -22,12 +22,17 @@ def captions(spark: SparkSession, path: str, required: tuple[str, ...] = ("filen
     return rows.select(*cells, number.alias("source_index"), (complete[0] & complete[1] & complete[2]).alias("complete"), "_place")
 
 
+def captions(spark: SparkSession, path: str, required: tuple[str, ...] = ("filename", "label", "text_for_embed"), index: str = "storage_index") -> DataFrame:
+    """Caption rows by header name, with complete; a missing required column is an error. The index is a number or null."""
+    return _placed_captions(spark, path, required, index).drop("_place")
+
+
 def import_captions(spark: SparkSession, path: str, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stored captions (filename, label, source_index, text_for_embed) with the complete rows of a sheet put in, one row of counts: upserted and skipped).
 
     The key is the file, the label and the index, null among them; of rows with one key the last in the sheet counts.
     """
-    rows = captions(spark, path)
+    rows = _placed_captions(spark, path)
     keys = ["filename", "label", "source_index"]
     fresh = rows.filter("complete").select(*keys, "text_for_embed", "_place")
     counts = rows.agg(F.count_if("complete").alias("upserted"), F.count_if(~F.col("complete")).alias("skipped"))
