@@ -1,6 +1,7 @@
 """The text jobs with their own patterns on small invented documents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from covara.operators import chunking, figures, keyed, objectives, rollups
 from covara.sources import readers
@@ -40,6 +41,23 @@ def test_chunks_of_odd_texts(spark):
     assert sorted((r.doc_id, r.section, r.page, r.content, r.embed_text) for r in found) == [(3, "Document", None, "no heading here", "Document\nno heading here"), (4, "Document", None, "Overview", "Document\nOverview"), (5, "Document", None, "Overview\nSummary", "Document\nOverview\nSummary")]
 
 
+def test_chunks_do_not_depend_on_segments(spark):
+    """A long text is cut into segments of lines; contents lines at the ends of sections and sections of page marks only count as they do in one."""
+    mark = chunking.PAGE_MARK
+    long = "\n".join(f"Activity {i}: Part\nWords of part {i}.\n{mark if i % 3 else ''} more\n\n" for i in range(40))
+    texts = docs(spark, GUIDE, long, f"Overview\n{mark}\nSummary\nThe end.", "a\t1\nb\t2\nc\t3", "Overview\na\t1\nb\t2\nc\t3\nSummary\nlast")
+
+    def chunks(lines):
+        found = chunking.document_chunks(texts, chunking.ChunkRules(floor=1, segment_lines=lines))
+        return sorted(map(tuple, found.select("doc_id", "chunk_index", "block_index", "section", F.coalesce("page", F.lit(0)), "content").collect()))
+
+    whole = chunks(4096)
+    assert chunks(3) == whole
+    assert [x[1:] for x in whole if x[0] == 2] == [(0, 1, "Summary", 2, "The end.")]
+    assert [x[1:] for x in whole if x[0] == 3] == [(0, 0, "Document", 0, "a\t1\nb\t2\nc\t3")]
+    assert [x[1:] for x in whole if x[0] == 4] == [(0, 0, "Summary", 0, "last")]
+
+
 @pytest.mark.parametrize("budget, overlap", [(6, 3), (8, 0), (5, 5)])
 def test_packing(budget, overlap):
     units = [("one two three.", 3), ("four five six.", 3), ("a list item", 3), ("another end.", 2), ("w " * 20 + "end.", 21), ("last one.", 2)]
