@@ -3,7 +3,7 @@
 All shingles have one order: ordinary ones by hash, then those found frequent in a sample, the most frequent last.
 Two sets of similarity s or more share one of the first n - ceil(s n) + 1 shingles of each, so texts meet in
 groups by these. The order does not touch the result; it keeps passages that many texts share out of the
-groups. A small group gives all its pairs, a large one first the pairs with two members: its largest, and the one with the
+groups. Pairs by SimHash fingerprints (simhash.fingerprint_pairs) are the first; a small group gives all its pairs, a large one the pairs with two members: its largest, and the one with the
 fewest rarer shingles, which is most like the text that the others are copies of. What these leave in
 different components is then compared. Parities of the sets bound their difference from below and discard most
 pairs, those of large groups before they become rows; a pair that is left counts only when its exact similarity is known.
@@ -30,6 +30,8 @@ LARGE_GROUP = 3
 BLOCK_MEMBERS = 4096
 #: Bytes of parities that a member of a large group takes along.
 MOST_PARITY = 512
+#: Members of a large group that are its pivots at most.
+PIVOTS = 8
 #: One document of so many is sampled for frequent shingles; how often those occur there at least; how many are kept at most.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 8, 100_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -126,7 +128,7 @@ def set_hashes(text: Column, words: int = COPY_WORDS) -> Column:
 
 
 def describe(docs: DataFrame, words: int = COPY_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
-    """doc_id, fp (the hash of its shingle set), n (its size), head (its prefix), parity and sketch (parity at no more than MOST_PARITY bytes) of each row of docs."""
+    """doc_id, fp (the hash of its shingle set), bits (the set's SimHash fingerprint), n (its size), head (its prefix), parity and sketch (parity at no more than MOST_PARITY bytes) of each row of docs."""
     frequent = frequent_shingles(docs, words)
     by_hash = np.argsort(frequent)
 
@@ -135,11 +137,12 @@ def describe(docs: DataFrame, words: int = COPY_WORDS, least: Fraction = SIMILAR
             for part in ta.slices(batch):
                 sets = shingle_sets(part.column("text"), words)
                 fps, n = (pa.array([f(x) for x in sets], pa.int64()) for f in (set_hash, len))
+                bits = pa.array(np.array([ta.majority_bits(x) for x in sets], np.uint64).view(np.int64))
                 heads = pa.array([ordered_prefix(x, frequent, by_hash, least).tobytes() for x in sets], pa.binary())
                 parity = [parities(x) for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), fps, n, heads, pa.array(parity, pa.binary()), pa.array(map(folded, parity), pa.binary())], names=["doc_id", "fp", "n", "head", "parity", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), fps, bits, n, heads, pa.array(parity, pa.binary()), pa.array(map(folded, parity), pa.binary())], names=["doc_id", "fp", "bits", "n", "head", "parity", "sketch"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, fp bigint, n bigint, head binary, parity binary, sketch binary")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, fp bigint, bits bigint, n bigint, head binary, parity binary, sketch binary")
 
 
 def group_pairs(fp: np.ndarray, n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -161,23 +164,29 @@ def folded(parity: bytes, most: int = MOST_PARITY) -> bytes:
 
 
 class _Parities:
-    """Parities of the members of a group, side by side at each number of places that occurs."""
+    """Parities of the members of a group, side by side at each number of places that occurs, with their distances to pivots."""
 
     def __init__(self, parity: list[bytes]):
         self.size = np.array([len(x) for x in parity])
-        self.at = {}
+        self.at, self.pivots = {}, {}
         for size in np.unique(self.size).tolist():
             rows = np.zeros((len(parity), size), np.uint8)
-            for i in np.flatnonzero(self.size >= size).tolist():
+            large = np.flatnonzero(self.size >= size)
+            for i in large.tolist():
                 rows[i] = np.frombuffer(folded(parity[i], size), np.uint8)
             self.at[size] = rows
+            # the table of distances to pivots, members at even places among those of this size
+            self.pivots[size] = np.stack([np.bitwise_count(rows ^ rows[p]).sum(1, dtype=np.int32) for p in large[:: -(-len(large) // PIVOTS)].tolist()])
 
-    def differences(self, i: int, others: np.ndarray) -> np.ndarray:
-        """A lower bound of how many elements member i and each of the others differ in."""
-        out, size = np.zeros(len(others), np.int64), np.minimum(self.size[others], self.size[i])
+    def near(self, i: int, others: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which of the others member i can differ from in no more than `most` elements: by the triangle inequality with each pivot, then by all parities."""
+        out, size = np.zeros(len(others), bool), np.minimum(self.size[others], self.size[i])
         for k in np.unique(size).tolist():
-            own = size == k
-            out[own] = np.bitwise_count(self.at[k][others[own]] ^ self.at[k][i]).sum(1)
+            own = np.flatnonzero(size == k)
+            for row in self.pivots[k]:
+                own = own[np.abs(row[others[own]] - row[i]) <= most[own]]
+            own = own[np.bitwise_count(self.at[k][others[own]] ^ self.at[k][i]).sum(1) <= most[own]]
+            out[own] = True
         return out
 
 
@@ -222,7 +231,7 @@ def _members(dealt: DataFrame, least: Fraction, all_pairs: bool) -> DataFrame:
                     b = b[label[b] != label[start + i]]
                     a, b = group_pairs(fp, n, pos, np.full(len(b), start + i), b, least)
                     if len(b):
-                        near = table.differences(i, b - start) * (t + s) <= (n[a] + n[b]) * (t - s)
+                        near = table.near(i, b - start, (n[a] + n[b]) * (t - s) // (t + s))
                         if near.any():
                             pairs.append((fp[a[near]], fp[b[near]]))
                             made += len(pairs[-1][0])
@@ -317,8 +326,12 @@ def possible_pairs(pairs: DataFrame, described: DataFrame, least: Fraction) -> D
     return materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a bigint, b bigint"))
 
 
-def similar_links(docs: DataFrame, described: DataFrame, words: int = COPY_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
-    """a and b (hashes of shingle sets) of links that connect all texts whose similarity is `least` or more; described as of describe()."""
+def similar_links(docs: DataFrame, described: DataFrame, likely: DataFrame, words: int = COPY_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
+    """a and b (hashes of shingle sets) of links that connect all texts whose similarity is `least` or more; described as of describe().
+
+    likely (a < b) are pairs found otherwise, by fingerprints: they are verified with the first pairs of the groups, and members of large groups that they
+    connect are not compared again. They do not touch the result.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,7 +342,7 @@ def similar_links(docs: DataFrame, described: DataFrame, words: int = COPY_WORDS
     once = materialise(described.dropDuplicates(["fp"]))  # one row for equal sets, before their prefixes are dealt
     dealt = once.select("fp", "n", "head").mapInArrow(_deal, "key bigint, fp bigint, span bigint").withColumn("label", F.col("fp"))
     found = materialise(_members(dealt, least, False))
-    first = materialise(found.filter("key is null").select("a", "b").distinct())
+    first = materialise(found.filter("key is null").select("a", "b").unionByName(likely).distinct())
     parity = once.select("fp", "n", "parity")
 
     def checked(pairs: DataFrame) -> DataFrame:

@@ -41,10 +41,7 @@ def fingerprint(words: list[bytes], size: int) -> int:
     n = max(1, len(words) - size + 1)
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(b" ".join(words[i : i + size]), HASH_SEED) for i in range(n)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 8192):
-        ones += np.unpackbits(h[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return ta.majority_bits(h)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -261,17 +258,29 @@ def fingerprint_groups(docs: DataFrame, words: int = WORDS, most_bits: int = MOS
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def fingerprint_pairs(described: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """a and b (fp) of pairs that connect all shingle sets whose fingerprints (bits, of jaccard.describe()) are within `most_bits` bits; sets with one fingerprint are paired with the first."""
+    sets = described.filter("n > 0").select("fp", "bits").distinct()
+    nodes = materialise(sets.groupBy("bits").agg(F.min("fp").alias("first")))
+    links = near_links(nodes.select(F.col("bits").alias("node"), F.col("bits").alias("fp")), most_bits)
+    at = lambda side, name: nodes.select(F.col("bits").alias(side), F.col("first").alias(name))
+    other = links.join(at("src", "a"), "src").join(at("dst", "b"), "dst").select("a", "b")
+    equal = sets.join(nodes, "bits").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    return other.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = COPY_WORDS, least: Fraction = SIMILARITY) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id of its component) and first of each row of docs (doc_id, text).
 
-    Links every two texts whose sets of `words`-word shingles have a Jaccard similarity of at least `least`; none is
-    missed (jaccard.py). fp is a hash of the set, 0 for null and empty texts, which are copies of each other. first is true
+    Links every two texts whose sets of `words`-word shingles have a Jaccard similarity of at least `least`. SimHash fingerprints of
+    the sets give the first pairs, by pivot tables (near_links); prefixes of the sets give those that differ in more bits, so none is
+    missed (jaccard.py), and each pair counts by its exact similarity. fp is a hash of the set, 0 for null and empty texts, which are copies of each other. first is true
     for rows that stand for their component: those with the smallest doc_id and, where no row has one, those with the
     smallest fp. Texts of any length are read whole; repeated rows and equal texts share a node; an empty table gives no
     rows; other columns are ignored.
     """
     described = materialise(describe(docs, words, least))
-    component = connected_components(similar_links(docs, described, words, least).selectExpr("a src", "b dst"))
+    component = connected_components(similar_links(docs, described, fingerprint_pairs(described), words, least).selectExpr("a src", "b dst"))
     fps = described.select("doc_id", "fp")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(component.selectExpr("node fp", "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     whole = nodes.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES, LONG_BYTES = 1 << 20, 128
+SLICE_BYTES, LONG_BYTES = 1 << 19, 128
 
 #: Bytes of white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -52,6 +52,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def majority_bits(h: np.ndarray) -> int:
+    """The number whose bits are set in more than half of h (uint64); 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 8192):
+        ones += np.unpackbits(h[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """p with p[j] - p[i] = the polynomial of data[i:j] times base**i."""
     up, _ = powers(len(data) + 1)

@@ -84,3 +84,37 @@ def test_groups_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     found = {x.doc_id: x.component_id for x in simhash.near_duplicates(df).collect()}
     assert [found[i] for i in range(len(texts))] == want
+
+
+def test_fingerprints_give_the_first_pairs(spark):
+    """Without the groups by prefixes, texts whose fingerprints are near are found by pivot tables, and only those that are similar enough count."""
+    texts, r = near_copies(11, 8, 2), random.Random(12)
+    for i in range(10):
+        words = [f"w{r.randrange(10**6)}" for _ in range(800)]
+        texts += [" ".join(words), " ".join([*words[:300], "other", *words[301:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.fp: r for r in jaccard.describe(df).filter("n > 0").collect()}
+    by_text = {r.doc_id: r.fp for r in jaccard.describe(df).collect()}
+    pairs = simhash.fingerprint_pairs(jaccard.describe(df)).collect()
+    label = {x: x for x in rows}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for r in pairs:
+        label[find(r.a)] = find(r.b)
+    near = [(x, y) for x in rows for y in rows if x < y and ((rows[x].bits ^ rows[y].bits) & (2**64 - 1)).bit_count() <= simhash.MOST_BITS]
+    assert len(near) > 4 and all(find(x) == find(y) for x, y in near)
+    none = jaccard._members
+    try:
+        jaccard._members = lambda dealt, least, all_pairs: spark.createDataFrame([], "key bigint, a bigint, b bigint")
+        found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    finally:
+        jaccard._members = none
+    sets = {by_text[i]: shingles(t) for i, t in enumerate(texts) if by_text[i]}
+    first = {x: min(i for i, y in by_text.items() if y == x) for x in sets}
+    linked = [(r.a, r.b) for r in pairs if similarity(sets[r.a], sets[r.b]) >= 0.8]
+    assert linked and all(found[first[a]] == found[first[b]] for a, b in linked)
+    assert len(set(found.values())) < len(rows)
