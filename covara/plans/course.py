@@ -68,25 +68,29 @@ def system_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH spread AS (SELECT framework, unnest(['Entire curriculum', module]) AS scope, framework_id, document_id FROM fact), docs AS (SELECT framework, scope, framework_id, count(DISTINCT document_id) AS docs FROM spread GROUP BY ALL), totals AS (SELECT framework, count(*) AS total FROM topic GROUP BY ALL), rows AS (SELECT * FROM docs JOIN totals USING (framework)) SELECT framework, scope, {DISTRIBUTION_SQL} FROM rows GROUP BY ALL")
 def scope_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return r.scope_distribution(v.facts(spark, d), v.topics(spark, d).groupBy("framework").agg(F.count("*").alias("total")))
+    return r.scope_distribution(v.distinct_facts(spark, d, "document_id", "framework_id"), v.topics(spark, d).groupBy("framework").agg(F.count("*").alias("total")))
 
 
 _PROGRAM = "program AS (SELECT framework, framework_id, count(DISTINCT document_id) AS docs, count(DISTINCT (document_id, chunk_index)) AS chunks, count(DISTINCT course_id) AS courses FROM fact GROUP BY ALL)"
 
 
+def _linked_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return v.distinct_facts(spark, d, "document_id", "chunk_index", "framework_id", counted="chunk_index")
+
+
 @query(f"WITH {_PROGRAM} SELECT framework, framework_id, docs, chunks FROM program ORDER BY docs DESC, chunks DESC, framework_id LIMIT 8")
 def most_covered(spark: SparkSession, d: str) -> DataFrame:
-    return r.program_rows(v.facts(spark, d)).orderBy(F.desc("docs"), F.desc("chunks"), "framework_id").limit(8).select("framework", "framework_id", "docs", "chunks")
+    return r.program_rows(_linked_chunks(spark, d)).orderBy(F.desc("docs"), F.desc("chunks"), "framework_id").limit(8).select("framework", "framework_id", "docs", "chunks")
 
 
 @query(f"WITH {_PROGRAM}, best AS (SELECT * FROM program ORDER BY docs DESC, chunks DESC, framework_id LIMIT 8) SELECT fact.framework_id, docs, chunks, string_agg(DISTINCT cast(case_number AS varchar), ',' ORDER BY cast(case_number AS varchar)) AS cases FROM fact JOIN best ON fact.framework_id = best.framework_id GROUP BY ALL".replace("string_agg(DISTINCT cast(case_number AS varchar), ',' ORDER BY cast(case_number AS varchar))", "array_to_string(list_sort(list(DISTINCT case_number)), ',')"))
 def learning_spiral(spark: SparkSession, d: str) -> DataFrame:
-    return r.learning_spiral(v.facts(spark, d))
+    return r.learning_spiral(v.facts(spark, d), _linked_chunks(spark, d))
 
 
 @query(f"WITH {_PROGRAM}, rows AS (SELECT topic.framework, system, system || ' — ' || subdomain AS topic, stable_id, coalesce(docs, 0) AS docs, coalesce(courses, 0) AS courses FROM topic LEFT JOIN program ON stable_id = framework_id) SELECT *, {LEVEL_SQL} AS level FROM rows")
 def program_export(spark: SparkSession, d: str) -> DataFrame:
-    counts = r.program_rows(v.facts(spark, d)).select(F.col("framework_id").alias("stable_id"), "docs", "courses")
+    counts = r.program_rows(_linked_chunks(spark, d)).select(F.col("framework_id").alias("stable_id"), "docs", "courses")
     rows = r.with_gaps(v.topics(spark, d), counts, ["stable_id"])
     return rows.select("framework", "system", topic_label(F.col("system"), F.col("subdomain")).alias("topic"), "stable_id", "docs", "courses", level_of(F.col("docs")).alias("level"))
 
