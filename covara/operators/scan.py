@@ -1,7 +1,8 @@
 """Automata over the lines of documents, segment by segment, so that a long document spreads over tasks.
 
 A segment of lines is a map from the state in which it is entered to the state in which it is left. Maps are small, and those of a
-document are composed in order; each segment then runs from its own first state. Lines are gathered by segment only, once.
+document are composed in order; each segment then runs from its own first state. Lines are gathered by segment only. Documents of one segment stay
+in their rows.
 """
 
 from __future__ import annotations
@@ -67,13 +68,6 @@ def scanned(lines: DataFrame, key: str, machine: Automaton, symbol: Column, mark
 
         return pd.Series([of(m, s) for m, s in zip(column, marks)])
 
-    def placed(entered: pd.Series, number: pd.Series, before: pd.Series, symbols: pd.Series, marks: pd.Series) -> pd.Series:
-        def of(state, n, b, x, m) -> list[dict]:
-            out = tables.run(np.asarray(x), np.array([state]))[0][:, 0]
-            return [{"out": o, "number": k, "before": c} for o, k, c in zip(out.tolist(), (n + np.cumsum(out == 1)).tolist(), (b + np.cumsum(m) - m).tolist())]
-
-        return pd.Series([of(*x) for x in zip(entered, number, before, symbols, marks)])
-
     line = F.struct("line_no", symbol.cast("int").alias("_symbol"), mark.cast("bigint").alias("_mark"), *carried)
     segments = lines.groupBy(key, F.expr(f"line_no div {segment_lines}").alias("_segment")).agg(F.array_sort(F.collect_list(line)).alias("_lines"))
     symbols, marks = F.transform("_lines", lambda x: x["_symbol"]), F.transform("_lines", lambda x: x["_mark"])
@@ -83,6 +77,34 @@ def scanned(lines: DataFrame, key: str, machine: Automaton, symbol: Column, mark
     entries = F.pandas_udf(composed, "array<struct<state: int, number: bigint, before: bigint>>")(F.transform("all", lambda x: x["map"]), F.transform("all", lambda x: x["marks"]))
     whole = whole.select(key, total("all", "marks").alias("marks"), F.explode(F.arrays_zip("all", entries.alias("entries"))).alias("e"))
     entered = whole.select(key, "marks", F.col("e.all._segment").alias("_segment"), F.col("e.entries.state").alias("_state"), F.col("e.entries.number").alias("_number"), F.col("e.entries.before").alias("_before"))
-    outs = F.pandas_udf(placed, "array<struct<out: int, number: bigint, before: bigint>>")("_state", "_number", "_before", symbols, marks)
-    found = segments.join(entered, [key, "_segment"]).select(key, "marks", F.explode(F.arrays_zip("_lines", outs.alias("_outs"))).alias("x")).filter("x._outs.out > 0")
-    return found.select(key, "x._lines.line_no", *(f"x._lines.{c}" for c in carried), "x._outs.out", "x._outs.number", "x._outs.before", "marks")
+    return _walked(segments.join(entered, [key, "_segment"]), key, machine, carried)
+
+
+def scanned_whole(docs: DataFrame, key: str, machine: Automaton, carried: list[str]) -> DataFrame:
+    """The same rows for documents that are one segment each: docs has key and _lines, an array in order of line_no, _symbol, _mark and those of `carried`. Nothing is shuffled."""
+    zero = F.lit(0).cast("bigint")
+    marks = F.aggregate("_lines", zero, lambda a, x: a + x["_mark"])
+    return _walked(docs.select(key, "_lines", marks.alias("marks"), F.lit(0).alias("_state"), zero.alias("_number"), zero.alias("_before")), key, machine, carried)
+
+
+def _walked(segments: DataFrame, key: str, machine: Automaton, carried: list[str]) -> DataFrame:
+    """The lines of segments (key, marks, _lines, _state, _number, _before) for which the machine has an output, each segment run from its own state and counts."""
+    following, outputs = machine.following.tolist(), machine.outputs.tolist()
+
+    def placed(entered: pd.Series, number: pd.Series, before: pd.Series, symbols: pd.Series, marks: pd.Series) -> pd.Series:
+        def of(state, n, b, xs, ms) -> list[dict]:
+            found = []
+            for i, (x, m) in enumerate(zip(xs.tolist(), ms.tolist())):
+                if out := outputs[state][x]:
+                    n += out == 1
+                    found.append({"at": i, "out": out, "number": n, "before": b})
+                state, b = following[state][x], b + m
+            return found
+
+        return pd.Series([of(*x) for x in zip(entered, number, before, symbols, marks)])
+
+    symbols, marks = F.transform("_lines", lambda x: x["_symbol"]), F.transform("_lines", lambda x: x["_mark"])
+    outs = F.pandas_udf(placed, "array<struct<at: int, out: int, number: bigint, before: bigint>>")("_state", "_number", "_before", symbols, marks)
+    rows = segments.select(key, "marks", "_lines", outs.alias("_outs"))
+    found = rows.select(key, "marks", F.explode(F.transform("_outs", lambda o: F.struct(F.get("_lines", o["at"]).alias("x"), o.alias("o")))).alias("y"))
+    return found.select(key, "y.x.line_no", *(f"y.x.{c}" for c in carried), "y.o.out", "y.o.number", "y.o.before", "marks")

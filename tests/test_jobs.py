@@ -196,3 +196,16 @@ def test_sections_and_pages_do_not_depend_on_segments(spark):
     for n in (1, 3, 4096):
         found = ln.with_pages(ln.with_sections(rows, F.col("line") == "HEAD", segment_lines=n), "|", segment_lines=n)
         assert sorted(map(tuple, found.select("doc_id", "line_no", "section_no", "section", "page").collect()), key=str) == sorted(want, key=str)
+
+
+def test_ranges_of_short_documents_stay_in_their_rows(spark, monkeypatch):
+    """Only documents of several segments are cut into rows of lines, and a report finds the ranges once."""
+    spread, found = [], []
+    lines, ranges = objectives.lines_of, objectives.objective_ranges
+    monkeypatch.setattr(objectives, "lines_of", lambda df, key: spread.append([r[0] for r in df.select(key).collect()]) or lines(df, key))
+    monkeypatch.setattr(objectives, "objective_ranges", lambda *x, **y: found.append(1) or ranges(*x, **y))
+    guide = "Learning Objectives\n1. Describe the heart and its valves.\n\n2. Explain how blood flows through\nthe lungs.\nOverview\nMore"
+    both = docs(spark, guide, "x\n" * 5000 + guide, "no heading", "")
+    report = {r["doc_id"]: (r["sections"], r["objectives"]) for r in objectives.batch_report(both).collect()}
+    assert report == {0: (1, 2), 1: (1, 2), 2: (0, 0), 3: (0, 0), None: (2, 4)}
+    assert spread == [[1]] and found == [1]
