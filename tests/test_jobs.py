@@ -209,3 +209,13 @@ def test_ranges_of_short_documents_stay_in_their_rows(spark, monkeypatch):
     report = {r["doc_id"]: (r["sections"], r["objectives"]) for r in objectives.batch_report(both).collect()}
     assert report == {0: (1, 2), 1: (1, 2), 2: (0, 0), 3: (0, 0), None: (2, 4)}
     assert spread == [[1]] and found == [1]
+
+
+def test_parts_of_a_page_meet_in_its_row(spark, monkeypatch):
+    """Parts are merged in the row of their page, and a gate makes the pages once."""
+    assert chunking.merge_groups([False, False, True, False, True], [False, True, False, False, False]) == [[0, 2, 3], [4]]
+    assert chunking.merge_groups([False], [True]) == [] and chunking.merge_groups([False, False], [False, False]) == [[0, 1]]
+    pages, real = [], chunking.section_pages
+    monkeypatch.setattr(chunking, "section_pages", lambda *x: pages.append(1) or real(*x))
+    found = chunking.chunk_gate(docs(spark, GUIDE, "lone text", ""), chunking.ChunkRules(floor=1)).orderBy("doc_id").collect()
+    assert pages == [1] and [(r.doc_id, r.sections, r.chunks) for r in found] == [(0, 3, 4), (1, 1, 1), (2, 0, 0)]
