@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covara.functions.scalar import described_label, topic_label
@@ -31,11 +31,15 @@ def map_payload(documents: DataFrame, chunks: DataFrame, links: DataFrame, media
     of = documents.select("document_id", "course_id")
     padded = lambda *c: F.array_join(F.array(*(F.lpad(F.col(x).cast("string"), 12, "0") for x in c)), "/")
     line = lambda rows, part, key, json: rows.select("course_id", F.lit(part).alias("part"), key.alias("key"), json.alias("line"))
+    chunks, media, captions, tags, objectives = (df.repartition("document_id") for df in (chunks, media, captions, tags, objectives))  # all that follows meets by document, so this is the only shuffle of each
 
-    official = captions.groupBy("document_id", "label").agg(F.min("text").alias("_official"))
-    assets = media.join(official, ["document_id", "label"], "left").select(*_CHUNK, F.struct(F.col("asset_id").alias("id"), "label", F.coalesce("_official", "text").alias("text"), (F.coalesce("path", F.lit("")) != "").alias("has_file")).alias("asset"))
+    # media and captions come below each other, not side by side: a join by label too would shuffle both again
+    official = captions.select("document_id", "label", F.col("text").alias("_official"), F.lit(True).alias("_caption")).filter("label is not null")
+    both = media.withColumn("_caption", F.lit(False)).unionByName(official, allowMissingColumns=True)
+    both = both.withColumn("_official", F.when(F.col("label").isNotNull(), F.min("_official").over(Window.partitionBy("document_id", "label")))).filter("not _caption")
+    assets = both.select(*_CHUNK, F.struct(F.col("asset_id").alias("id"), "label", F.coalesce("_official", "text").alias("text"), (F.coalesce("path", F.lit("")) != "").alias("has_file")).alias("asset"))
     assets = assets.groupBy(*_CHUNK).agg(F.array_sort(F.collect_set("asset")).alias("assets"))
-    words = keywords_of(tags.withColumn("chunk", F.struct(*_CHUNK)), "chunk", ["place"]).select("chunk.*", "keywords")
+    words = keywords_of(tags, _CHUNK, ["place"])
     goals = items_of(objectives, "document_id", ["ordinal"], "code", "text").select("document_id", F.transform("items", lambda x: F.struct(x["code"].alias("code"), x["text"].alias("text"))).alias("objectives"))
     parts = [
         line(documents, "documents", padded("document_id"), _json(F.col("document_id").alias("id"), "case_number", "case_title")),

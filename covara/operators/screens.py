@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,15 +41,17 @@ def system_summary(facts: DataFrame, topics: DataFrame) -> DataFrame:
     return out.withColumns({**zero, "best_topic": F.col("best.framework_id"), "best_docs": F.coalesce(-F.col("best.less"), F.lit(0))}).drop("best")
 
 
-def keywords_of(tags: DataFrame, chunk: str, order: list[str]) -> DataFrame:
-    """Keywords of each chunk as an array of (keyword, definition), sorted by keyword.
+def keywords_of(tags: DataFrame, chunk: str | list[str], order: list[str]) -> DataFrame:
+    """Keywords of each chunk (a column or several) as an array of (keyword, definition), sorted by keyword.
 
     Of a chunk's rows for one keyword the first in order gives the definition, be it null; among ties
-    null, then the least. Rows without chunk or keyword are dropped.
+    null, then the least. Rows without chunk or keyword are dropped; a chunk of several columns is missing where all are null.
     """
-    named = tags.filter(F.col(chunk).isNotNull() & (F.coalesce("keyword", F.lit("")) != ""))
-    first = named.groupBy(chunk, "keyword").agg(F.min(F.struct(*order, "definition"))["definition"].alias("definition"))
-    return first.groupBy(chunk).agg(F.array_sort(F.collect_list(F.struct("keyword", "definition"))).alias("keywords"))
+    keys = [chunk] if isinstance(chunk, str) else chunk
+    known = reduce(Column.__or__, (F.col(c).isNotNull() for c in keys))
+    named = tags.filter(known & (F.coalesce("keyword", F.lit("")) != ""))
+    first = named.groupBy(*keys, "keyword").agg(F.min(F.struct(*order, "definition"))["definition"].alias("definition"))
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("keyword", "definition"))).alias("keywords"))
 
 
 def items_of(items: DataFrame, key: str, order: list[str], *columns: str) -> DataFrame:

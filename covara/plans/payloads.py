@@ -16,6 +16,7 @@ from covara.plans.items import _ITEMS, _items
 from covara.plans.registered import query
 from covara.sources import exports
 from covara.sources import views as v
+from covara.sources.scratch import copied
 
 _PAD = lambda *c: " || '/' || ".join(f"lpad(cast({x} AS varchar), 12, '0')" for x in c)
 _CHUNK = _PAD("document_id", "chunk_index")
@@ -38,13 +39,14 @@ SELECT course_id, part, key, md5(line) AS line_md5 FROM entry""")
 def map_payload(spark: SparkSession, d: str) -> DataFrame:
     """The whole map of each course: documents, chunks, links, media with official captions, keywords, objectives and both catalogs. Lines of orders stand for chunks, suppliers for media."""
     documents = v.documents(spark, d).select("document_id", "course_id", "case_number", F.when(F.col("case_number") % 2 == 0, F.concat(F.lit("Case "), "case_number")).alias("case_title"))
-    lines = v.table(spark, d, "lineitem").selectExpr("l_orderkey document_id", "l_linenumber chunk_index", "l_suppkey", "l_partkey", "l_quantity")
-    chunks = v.links(spark, d).select("document_id", "chunk_index").distinct().withColumn("section", F.concat(F.lit("Part "), "chunk_index"))
-    suppliers = v.table(spark, d, "supplier").selectExpr("s_suppkey l_suppkey", "s_name label", "s_nationkey")
-    media = lines.join(suppliers, "l_suppkey").selectExpr("document_id", "chunk_index", "l_suppkey asset_id", "label", "if(l_quantity > 9, 'mined', null) text", "if(l_quantity > 25, 'x.png', '') path", "s_nationkey")
+    chunks = v.links(spark, d).select("document_id", "chunk_index").repartition("document_id").distinct().withColumn("section", F.concat(F.lit("Part "), "chunk_index"))
+    # suppliers are few and meet lines after the shuffle, so their names are not shuffled
+    lines = v.table(spark, d, "lineitem").selectExpr("l_orderkey document_id", "l_linenumber chunk_index", "l_suppkey", "l_quantity > 9 mined", "l_quantity > 25 has_file")
+    suppliers = copied(v.table(spark, d, "supplier").selectExpr("s_suppkey l_suppkey", "s_name label", "s_nationkey"))
+    media = lines.repartition("document_id").join(suppliers, "l_suppkey").selectExpr("document_id", "chunk_index", "l_suppkey asset_id", "label", "if(mined, 'mined', null) text", "if(has_file, 'x.png', '') path", "s_nationkey")
     captions = media.filter("document_id % 3 = 0 and s_nationkey < 9").select("document_id", "label", F.lit("official").alias("text")).distinct()
     parts = v.table(spark, d, "part").selectExpr("p_partkey l_partkey", "nullif(p_type, 'PROMO') keyword", "if(p_size > 25, p_brand, null) definition")
-    tags = lines.join(parts, "l_partkey").select("document_id", "chunk_index", F.col("chunk_index").alias("place"), "keyword", "definition")
+    tags = v.table(spark, d, "lineitem").selectExpr("l_orderkey document_id", "l_linenumber chunk_index", "l_partkey").join(parts, "l_partkey").select("document_id", "chunk_index", F.col("chunk_index").alias("place"), "keyword", "definition")
     goals = _items(spark, d).selectExpr("document_id", "ordinal", "if(coded, concat('EO-', ordinal), null) code", "text")
     topics = v.topics(spark, d)
     found = p.map_payload(documents, chunks, v.live_links(spark, d), media.drop("s_nationkey"), captions, tags, goals, _competencies(topics), topics.filter("framework = 'USMLE'"))

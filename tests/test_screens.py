@@ -53,3 +53,35 @@ def test_selection(spark):
     documents = spark.createDataFrame([(1,), (3,), (None,)], "chunk int")
     assert {r.chunk for r in s.unprocessed(documents, links, "chunk").collect()} == {3, None}
     assert [tuple(x) for r in s.items_of(links, "chunk", ["topic"]).filter("chunk = 1").collect() for x in r["items"]] == [("t",), ("u",)]
+
+
+def test_map_shuffles_each_table_once(spark):
+    """Whatever a map groups and joins meets by document; an official caption replaces the text of its label, null is no label."""
+    from pyspark.sql import functions as F
+
+    from covara.operators import payloads
+
+    make = spark.createDataFrame
+    documents = make([(1, 7, 2, "t")], "document_id int, course_id int, case_number int, case_title string")
+    chunks = make([(1, 0, "s")], "document_id int, chunk_index int, section string")
+    links = make([(1, 0, 5, "0.50", None)], "document_id int, chunk_index int, framework_id int, confidence string, status string")
+    media = make([(1, 0, 3, "a", "x", ""), (1, 0, 4, None, "y", "p"), (1, 1, 5, "b", None, None)], "document_id int, chunk_index int, asset_id int, label string, text string, path string")
+    captions = make([(1, "a", "z"), (1, "a", "official"), (1, None, "none"), (2, "b", "other")], "document_id int, label string, text string")
+    tags = make([(1, 0, 1, "k", "d"), (1, 0, 0, "k", None), (1, 0, 2, "", "e"), (1, None, 0, "m", "n"), (None, None, 0, "q", "r")], "document_id int, chunk_index int, place int, keyword string, definition string")
+    goals = make([(1, 0, "EO-0", "g")], "document_id int, ordinal int, code string, text string")
+    catalog = make([], "stable_id int, sub_id string, domain string, description string, system string, subdomain string")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        found = payloads.map_payload(documents, chunks, links, media, captions, tags, goals, catalog, catalog)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.part, r.line) for r in found.filter(F.col("part").isin("media", "keywords")).collect())
+    finally:
+        spark.conf.set(threshold, before)
+    assert plan.count("Exchange hashpartitioning") == 11 and "chunk_index" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+    assert rows == [
+        ("keywords", '{"document_id":1,"chunk_index":0,"keywords":[{"keyword":"k","definition":null}]}'), ("keywords", '{"document_id":1,"chunk_index":null,"keywords":[{"keyword":"m","definition":"n"}]}'),
+        ("media", '{"document_id":1,"chunk_index":0,"assets":[{"id":3,"label":"a","text":"official","has_file":false},{"id":4,"label":null,"text":"y","has_file":true}]}'),
+        ("media", '{"document_id":1,"chunk_index":1,"assets":[{"id":5,"label":"b","text":null,"has_file":false}]}'),
+    ]
